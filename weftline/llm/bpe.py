@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, slices, small_batches
+from weftline.llm.common import batch, slices, prepare
 from weftline.llm.pieces import ByteVocabulary
 
 #: Memo tables are dropped at this size; that bounds memory and changes no result.
@@ -133,7 +133,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "do
 
     with_ids adds ids (array<int>) and decoded (binary), the real outputs. No shuffle: rows are independent.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     fields = [(id_column, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:

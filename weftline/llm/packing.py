@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, materialise, slices, small_batches
+from weftline.llm.common import batch, materialise, slices, prepare
 from weftline.llm.pieces import WordVocabulary
 
 #: Pieces that are ranked together within a length, about.
@@ -31,7 +31,7 @@ _OPEN: dict[str, WordVocabulary] = {}
 
 def cut(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of the documents: doc_id, start, length, ids_crc32, doc_tokens (and ids, packed little-endian 32 bits)."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     if with_ids:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, materialise, partitions, scratch_dir, slices, small_batches
+from weftline.llm.common import batch, materialise, partitions, scratch_dir, slices, prepare
 from weftline.llm.pieces import ByteVocabulary, byte_vocabulary
 
 MAGIC = b"WFTSHRD1"
@@ -148,7 +148,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_mb: fl
     only whole files; the manifest names those that count.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
