@@ -17,7 +17,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Letters before this one are alike in every normal form.
 LATIN_END = "\u0250"
-_LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
 
@@ -27,8 +26,12 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in shown else 256 + sum(x not in shown for x in range(b)) for b in range(256)}
 
 
+#: Packed forms of ids.
+_PACKED = [k.to_bytes(4, "little") for k in range(1 << 16)]
+
+
 def _packed(tokens: list) -> bytes:
-    return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+    return b"".join([_PACKED[t.id] for t in tokens])
 
 
 #: One of these may end a word; it is then a match of its own in either pattern.
@@ -131,35 +134,30 @@ class ByteVocabulary:
         return (word[:-1], word[-1]) if word[-1] in STOPS and word[:-1].isalpha() else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists, heads, loose = [], [], {}
-        for k, t in enumerate(texts):
-            if not t:
-                lists.append([])
-                heads.append("")
-            elif _LOOSE_SPACE.search(t):
-                parts = _BEFORE_SPACE.split(t)
-                loose[k] = parts
-                lists.append([])
-                heads.append("")
-            else:
-                parts = t.split(" ")
-                heads.append(parts[0])
-                del parts[0]
-                lists.append(parts)
-        held = self.spaced.fetch(set().union(*lists, *(self._tight(p) for p in loose.values())) if lists else set())
-        odd = self.plain.fetch({*heads, *(p for parts in loose.values() for p in parts if not self._is_tight(p))})
-        out = [odd[h] + b"".join([held[w] for w in words]) for h, words in zip(heads, lists, strict=True)]
-        for k, parts in loose.items():
-            out[k] = b"".join([held[p[1:]] if self._is_tight(p) else odd[p] for p in parts])
+        """Packed little-endian 32-bit ids of each text; null is the empty text."""
+        lists = [t.split(" ") if t else [""] for t in texts]
+        heads = [words.pop(0) for words in lists]
+        wanted = set().union(*lists) if lists else set()
+        held = self.spaced.fetch({w for w in wanted.difference(self.spaced.young) if w and not w[0].isspace()} | wanted.intersection(self.spaced.young))
+        odd = self.plain.fetch(set(heads))
+        out: list[bytes] = []
+        for t, head, words in zip(texts, heads, lists, strict=True):
+            try:
+                out.append(odd[head] + b"".join([held[w] for w in words]))
+            except KeyError:  # a space before white space, or at the end
+                out.append(self._loose(t))
         return out
 
+    def _loose(self, text: str) -> bytes:
+        parts = _BEFORE_SPACE.split(text)
+        held = self.spaced.fetch({p[1:] for p in parts if self._is_tight(p)})
+        odd = self.plain.fetch({p for p in parts if not self._is_tight(p)})
+        return b"".join([held[p[1:]] if self._is_tight(p) else odd[p] for p in parts])
+
     @staticmethod
     def _is_tight(part: str) -> bool:
         return len(part) > 1 and part[0] == " " and " " not in part[1:]
 
-    def _tight(self, parts: list[str]) -> list[str]:
-        return [p[1:] for p in parts if self._is_tight(p)]
-
 
 def byte_vocabulary(path: str) -> ByteVocabulary:
     """By the tokenizers library."""
