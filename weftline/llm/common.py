@@ -61,28 +61,6 @@ def partitions(spark: SparkSession, df: DataFrame, mb: float = 32) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, int(size / (mb * 1e6)) + 1))
 
 
-def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, and keeps Arrow batches of whole texts to a few MB."""
-    context = spark.sparkContext
-    if getattr(context, "_weftline_sent", None) is None:
-        folder = tempfile.mkdtemp(prefix="weftline-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = Path(__file__).parent.parent
-        with zipfile.ZipFile(f"{folder}/weftline.zip", "w") as z:
-            for file in sorted(root.rglob("*.py")):
-                z.write(file, file.relative_to(root.parent))
-        context.addPyFile(f"{folder}/weftline.zip")
-        context._weftline_sent = folder
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-
-
-def partitions(spark: SparkSession, df: DataFrame, mb: float = 32) -> int:
-    """Partitions for a shuffle of what df reads: its size in the plan's statistics by mb, the session's number at least."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, int(size / (mb * 1e6)) + 1))
-
-
 def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts that together hold about that many characters, so that word lists stay small."""
     at = size = 0

@@ -127,6 +127,7 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     """Unions of spans that overlap or touch, by document."""
     if not len(doc):
         return doc, start, end
+    start = np.maximum(start, 0)
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
     group = np.cumsum(_starts(doc)) - 1
@@ -391,7 +392,7 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, length: int, parts: int) -> Da
             for doc, text, want in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                 data = np.frombuffer(bytes([EDGE]) * side + (text or "").encode() + bytes([EDGE]) * length, np.uint8)
                 places, ends, keys = (np.asarray(want.values.field(n)) for n in ("start", "end", "key"))
-                fits = places + 2 * length <= len(data) + length - ANCHOR
+                fits = places + side + length <= len(data)
                 places, ends, keys = places[fits], ends[fits], keys[fits]
                 own = np.zeros(len(places), context)
                 own["key"], own["doc"], own["pos"] = keys.view(np.uint64), doc, places
