@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, near_dup, packing, suffix_dedup, token_store, toxicity
+from weftline.llm import bpe, metric_search, near_dup, packing, suffix_dedup, token_store, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,12 +38,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op6_near_dup, op7_suffix_dedup, op8_packing, op10_token_store)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_metric_search, op6_near_dup, op7_suffix_dedup, op8_packing, op9_vector_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
