@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, metric_search, near_dup, packing, suffix_dedup, token_store, toxicity, vector_dedup
+from weftline.llm import bpe, html_extract, metric_search, near_dup, packing, suffix_dedup, token_store, toxicity, url_filter, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op3_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+#: The rules of op5.
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +59,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_metric_search, op6_near_dup, op7_suffix_dedup, op8_packing, op9_vector_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_metric_search, op4_html_extract, op5_url_filter, op6_near_dup, op7_suffix_dedup, op8_packing, op9_vector_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.judge_sql(RULES)}

@@ -437,17 +437,34 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, length: int, parts: int) -> Da
     return sent.mapInArrow(sort, "doc_id long, start int, end int, key long")
 
 
-def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes as kept (binary)."""
+def _joined(docs: DataFrame, length: int) -> DataFrame:
+    """All rows and columns of docs, with spans (array of start, end, or null): what to cut from the text's bytes."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = partitions(spark, texts, 8)
-    found = materialise(_compare(_find(texts.filter("doc_id is not null and text is not null"), length, parts), length))
+    texts = docs.select(*[c for c in docs.columns if c not in ("doc_id", "text", "spans", "wanted")], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = partitions(spark, texts.select("doc_id", "text"), 8)
+    found = materialise(_compare(_find(texts.filter("doc_id is not null and text is not null").select("doc_id", "text"), length, parts), length))
     spread_out = texts.repartition(parts, "doc_id")  # twice in one plan: shuffled once
     wanted = found.filter("end <= 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "key")).alias("wanted"))
     spans = found.filter("end > 0").unionByName(_cut_out(spread_out, wanted, length, parts))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spread_out.join(spans.hint("shuffle_hash"), "doc_id", "left")
+
+
+def _kept(data: bytes, own: pa.Scalar) -> tuple[bytes, int]:
+    """What the spans leave, and how many runs of bytes they are."""
+    if not own.is_valid or not data:
+        return data, 0
+    start, end = (np.asarray(own.values.field(k)).astype(np.int64) for k in ("start", "end"))
+    start, end = np.maximum(start, 0), np.minimum(end, len(data))
+    inside = end > start
+    _, start, end = merged(np.zeros(int(inside.sum()), np.int64), start[inside], end[inside])
+    edges = [0, *(x for pair in zip(start.tolist(), end.tolist(), strict=True) for x in pair), len(data)]
+    return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]), len(start)
+
+
+def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes as kept (binary)."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
@@ -460,17 +477,35 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFr
             out: dict[str, list] = {n: [] for n in schema.names}
             for doc, text, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                 data = (text or "").encode()
-                kept, removed, n = data, 0, 0
-                if own.is_valid and data:
-                    start, end = (np.asarray(own.values.field(k)).astype(np.int64) for k in ("start", "end"))
-                    start, end = np.maximum(start, 0), np.minimum(end, len(data))
-                    inside = end > start
-                    _, start, end = merged(np.zeros(int(inside.sum()), np.int64), start[inside], end[inside])
-                    edges = [0, *(x for pair in zip(start.tolist(), end.tolist(), strict=True) for x in pair), len(data)]
-                    kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                    removed, n = len(data) - len(kept), len(start)
-                for name, x in zip(schema.names, (doc, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                kept, n = _kept(data, own)
+                for name, x in zip(schema.names, (doc, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     out[name].append(x)
             yield batch(schema, **out)
 
-    return spread_out.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, ddl)
+    return _joined(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans").mapInArrow(cut, ddl)
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of docs with what is left of their texts; columns and their order stay, n_chars follows the text.
+
+    Bytes of a character that a cut leaves in part are dropped. A row of whose text nothing is left
+    goes, unless it was empty before.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts, stays = [], []
+            for text, own in zip(rows.column(at).to_pylist(), rows.column(len(names)), strict=True):
+                left = None if text is None else _kept(text.encode(), own)[0].decode("utf-8", "ignore")
+                texts.append(left)
+                stays.append(bool(left) or not text)
+            columns = [*rows.columns[:-1]]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[k].to_pylist(), strict=True)], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
+
+    return _joined(docs, length).select(*names, "spans").mapInArrow(run, docs.schema)

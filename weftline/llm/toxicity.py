@@ -97,6 +97,15 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return at, weights[at]
 
 
+def probabilities(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """Scores of texts, by all weights."""
+    which, index = features(texts)
+    heavy = np.flatnonzero(weights[index])
+    both = np.unique(which[heavy] << np.int64(BITS) | index[heavy])
+    total = np.bincount(both >> np.int64(BITS), weights[both & np.int64(2**BITS - 1)], len(texts)) + weights[2**BITS]
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample_rows: int = 12_000) -> DataFrame:
     """The model as rows (index, weight), from the documents that labels names."""
     prepare(docs.sparkSession)
@@ -129,16 +138,30 @@ def score(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFram
         for rows in batches:
             keys, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for a, b in slices(texts):
-                which, index = features(texts[a:b])
-                heavy = np.flatnonzero(weights[index])
-                both = np.unique(which[heavy] << np.int64(BITS) | index[heavy])
-                total = np.bincount(both >> np.int64(BITS), weights[both & np.int64(2**BITS - 1)], b - a) + weights[2**BITS]
-                p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+                p = probabilities(texts[a:b], weights)
                 yield batch(schema, doc_id=keys[a:b], score=p, predicted=(p >= threshold).astype(np.int32))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold. No shuffle."""
+    rows = model.collect()  # as in score
+    sparse = docs.sparkSession.sparkContext.broadcast((np.array([r["index"] for r in rows], np.int64), np.array([r["weight"] for r in rows], np.float32)))
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros(2**BITS + 1, np.float32)
+        weights[sparse.value[0]] = sparse.value[1]
+        for rows in batches:
+            texts = rows.column(at).to_pylist()
+            p = np.concatenate([probabilities(texts[a:b], weights) for a, b in slices(texts)] or [np.zeros(0)])
+            yield rows.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a document's label must not be learned from."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
