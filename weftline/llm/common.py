@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,3 +76,29 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[in
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows that are sorted by keys, one record batch for each group of them; holds a group and a batch at most."""
+    left: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        columns = [rows.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        at = [*np.flatnonzero(new).tolist(), rows.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if left and key != last:
+                yield _whole(left)
+                left = []
+            left.append(rows.slice(a, b - a))
+            last = key
+    if left:
+        yield _whole(left)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -7,8 +7,9 @@ similarity. Bands of register values find candidates; the joint likelihood of (l
 registers rules out hopeless ones; what is left is confirmed on the full sets.
 
 No group is expanded into pairs. Documents with equal sets are one node. In each band's bucket, nodes
-are first compared with two of its members; components of the confirmed links then leave, for the last
-comparison, only pairs whose nodes share a bucket and are not connected yet.
+are first compared with two of its members. Buckets whose nodes the confirmed links leave unconnected
+are then gone through, in blocks, where the registers leave pairs possible: a task compares full sets
+of pairs that nothing connects yet and returns only links that connect.
 
 Results for odd rows: null or blank texts have no shingles and are linked with nothing; fewer than
 `words` words are one shingle; equal rows are linked; rows that share a doc_id are one document with
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, materialise, slices, prepare
+from weftline.llm.common import batch, groups, materialise, prepare, slices
 from weftline.llm.graph import components
 
 #: Registers: BANDS bands of ROWS. Two sets of similarity 0.85 miss each other with probability 3e-7, at 0.9 with 3e-11.
@@ -35,6 +36,8 @@ BANDS, ROWS = 26, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A pair is ruled out if its registers are e**DOUBT times likelier under a lower similarity than under the threshold.
 DOUBT = 18.0
+#: Members of a bucket that meet in one task.
+BLOCK = 1000
 _MASK = 0x2AAAAAAAAAAAAAAA
 _RANDOM = np.random.default_rng(20_240_607)
 _BYTE = _RANDOM.integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -118,8 +121,8 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def band_keys(sketch_rows: DataFrame) -> DataFrame:
-    """(node, key) for each band of each sketch."""
-    schema = pa.schema([("node", pa.int64()), ("key", pa.int64())])
+    """(node, band, key) for each band of each sketch."""
+    schema = pa.schema([("node", pa.int64()), ("band", pa.int32()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -130,9 +133,9 @@ def band_keys(sketch_rows: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 keys = _mix(keys + (values[:, :, k] + np.uint64(1)) * _PLACE[k])
             keys = _mix(keys ^ _FACTORS[:BANDS])
-            yield batch(schema, node=np.repeat(np.asarray(rows.column(0)), BANDS), key=keys.ravel().view(np.int64))
+            yield batch(schema, node=np.repeat(np.asarray(rows.column(0)), BANDS), band=np.tile(np.arange(BANDS, dtype=np.int32), rows.num_rows), key=keys.ravel().view(np.int64))
 
-    return sketch_rows.select("node", "sketch").mapInArrow(run, "node long, key long")
+    return sketch_rows.select("node", "sketch").mapInArrow(run, "node long, band int, key long")
 
 
 def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
@@ -166,20 +169,97 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                 yield batch(schema, a=np.asarray(rows.column("a"))[keep], b=np.asarray(rows.column("b"))[keep])
 
     left = materialise(both.mapInArrow(likely, "a long, b long").distinct())
-    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    out = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    sets = materialise(full_sets(docs, left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), words))
+    joined = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return joined.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, items): sorted shingle hashes of the documents that wanted names."""
+    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             keys, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for a, b in slices(texts):
-                yield batch(out, node=keys[a:b], items=[s.view(np.int64) for s in shingle_sets(texts[a:b], words)])
+                yield batch(schema, node=keys[a:b], items=[x.view(np.int64) for x in shingle_sets(texts[a:b], words)])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    return texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, items array<long>")
+
+
+def _possible(rows: pa.RecordBatch, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of a cell that its bucket is the first to bring together, as far as registers and components leave them open."""
+    cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    band, block, component, n = (rows.column(c).to_numpy() for c in ("band", "block", "component", "n_shingles"))
+    values = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(rows.num_rows, -1)
+    n = n.astype(float)
+    for a in range(rows.num_rows - 1):
+        b = np.arange(a + 1, rows.num_rows)
+        open_ = (component[b] != component[a]) & (np.minimum(n[a], n[b]) >= (least - 1e-9) * np.maximum(n[a], n[b]))
+        b = b[open_ & (block[b] != block[a])] if cross else b[open_]
+        if len(b):
+            b = b[may_reach(values[a][None], values[b], np.full(len(b), n[a]), n[b], least)]
+        if len(b):
+            same = (values[b] == values[a]).reshape(len(b), BANDS, ROWS).all(2)
+            b = b[same.argmax(1) == band[0]]
+        if len(b):
+            yield a, b
+
+
+def _linked(rows: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
+    """Links that connect components of a cell, confirmed on full sets; pairs that are connected are not compared."""
+    items, nodes = [np.asarray(x.values) for x in rows.column("items")], rows.column("node").to_pylist()
+    component = rows.column("component").to_pylist()
+    root = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
-    sets = materialise(texts.mapInArrow(full, "node long, items array<long>"))
-    joined = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return joined.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    out = []
+    for a, others in _possible(rows, percent / 100):
+        for b in others.tolist():
+            x, y = find(component[a]), find(component[b])
+            if x != y:
+                shared = len(np.intersect1d(items[a], items[b], assume_unique=True))
+                if 100 * shared >= percent * (len(items[a]) + len(items[b]) - shared):
+                    root[max(x, y)] = min(x, y)
+                    out.append((nodes[a], nodes[b]))
+    return out
+
+
+def _within_buckets(apart: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket; apart has key, band, node and component."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = apart.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", "band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = placed.join(nodes, "node")
+    at = ["key", "i", "j"]
+    some = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, at):
+            found = {k for a, b in _possible(rows, percent / 100) for k in (a, *b.tolist())}
+            if found:
+                names = rows.column("node").to_pylist()
+                yield batch(some, key=[rows.column("key")[0].as_py()] * len(found), node=[names[k] for k in found])
+
+    wanted = materialise(cells.repartition(n, *at).sortWithinPartitions(*at, "node").mapInArrow(possible, "key long, node long").distinct())
+    sets = materialise(full_sets(docs, wanted.select("node").distinct(), words))
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, at):
+            found = _linked(rows, percent)
+            yield batch(links, a=[a for a, _ in found], b=[b for _, b in found])
+
+    rest = cells.join(wanted, ["key", "node"], "left_semi").join(sets, "node")
+    return rest.repartition(n, *at).sortWithinPartitions(*at, "node").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
@@ -192,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
     keys = band_keys(nodes)
     heads = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one"), F.min(F.col("node").bitwiseXOR(_MASK)).bitwiseXOR(_MASK).alias("two"))
-    buckets = materialise(keys.join(heads.filter("n > 1"), "key").select("key", "node", "one", "two"))
+    buckets = materialise(keys.join(heads.filter("n > 1"), "key").select("key", "band", "node", "one", "two"))
     star = buckets.select(F.explode(F.array("one", "two")).alias("a"), F.col("node").alias("b")).filter("a != b")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -201,13 +281,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     links = materialise(confirmed(star, nodes, docs, words, percent).union(same))
     first = components(links)
 
-    placed = buckets.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = buckets.select("key", "band", "node").join(first, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     apart = materialise(placed.join(mixed, "key", "left_semi"))
-    other = apart.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    rest = apart.withColumnRenamed("node", "a").join(other, "key").filter("component < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")  # those were compared before
-    found = components(links.union(confirmed(rest, nodes, docs, words, percent)))
+    found = components(links.union(_within_buckets(apart, nodes, docs, words, percent)))
 
     out = members.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
