@@ -63,6 +63,12 @@ class Spark:
     def has(self, x: str, y: str) -> str:
         return f"contains({x}, {y})"
 
+    def groups(self, x: str, p: str, group: int) -> str:
+        return f"regexp_extract_all({x}, {self.pattern(p)}, {group})"
+
+    def plain(self, x: str, a: str, b: str) -> str:
+        return f"replace({x}, '{a}', '{b}')"
+
 
 class Duck(Spark):
     text, explode = "VARCHAR", "unnest"

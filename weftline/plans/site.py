@@ -152,6 +152,46 @@ def _month(where: str) -> str:
     return f"SELECT count(*) AS requests, coalesce(sum(tokens_in), 0) AS tokens_in, coalesce(sum(tokens_out), 0) AS tokens_out FROM spend WHERE operation <> 'error'{where}"
 
 
+# Character references that occur in text.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def html_text(x: str, d: Spark) -> str:
+    """Text of a page without scripts, styles and headings; tags go without a trace, white space collapses."""
+    for p in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?is)<h[1-6][ >].*?</h[1-6]>", r"(?s)<!--.*?-->", r"<[^>]*>"):
+        x = d.replace(x, p, "")
+    for a, b in ENTITIES:
+        x = d.plain(x, a, b)
+    return spaced(d, x)
+
+
+VIEWS["mentions"] = (
+    ("pool", "v_index"),
+    lambda d: f"""SELECT source_id, target_id, anchor, is_striking, opportunity, rank FROM (SELECT i.post_id AS source_id, k.post_id AS target_id, k.keyword AS anchor, k.is_striking, k.opportunity, k.rank, row_number() OVER (PARTITION BY i.post_id, k.post_id ORDER BY k.rank) AS rn
+        FROM (SELECT post_id, lang_code, concat(' ', {d.replace('lower(parsed_text)', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS body FROM v_index WHERE {SCOPE}) i
+        JOIN (SELECT p.*, v.lang_code, concat(' ', {d.replace('p.keyword_norm', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS needle FROM pool p JOIN v_index v ON v.post_id = p.post_id) k
+        ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND {d.has('i.body', 'k.needle')} WHERE length(trim(k.needle)) >= 4) t WHERE rn = 1""",
+)
+VIEWS["linked"] = (("v_link_graph",), lambda d: "SELECT DISTINCT source_post_id AS source_id, target_post_id AS target_id FROM v_link_graph")
+VIEWS["capacity"] = (
+    ("density",),
+    lambda d: f"SELECT post_id, least({C.max_suggestions}, greatest(0, CAST(greatest(2, ceil(word_count / CAST(1000 AS DOUBLE) * {C.max_links_per_1000})) AS BIGINT) - links)) AS room FROM density",
+)
+VIEWS["keyword_pass"] = (
+    ("mentions", "linked", "capacity"),
+    lambda d: """SELECT source_id, target_id, anchor, relevance, room, place FROM (SELECT m.*, c.room, round(least(CAST(0.98 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN m.is_striking THEN 0.2 ELSE 0 END), 4) AS relevance, row_number() OVER (PARTITION BY m.source_id ORDER BY m.rank, m.target_id) AS place
+        FROM mentions m JOIN capacity c ON c.post_id = m.source_id LEFT JOIN linked l ON l.source_id = m.source_id AND l.target_id = m.target_id WHERE l.source_id IS NULL) t WHERE place <= room""",
+)
+VIEWS["text_pass"] = (
+    ("related", "linked", "capacity", "keyword_pass", "v_index"),
+    lambda d: f"""SELECT source_id, target_id, anchor, relevance, place FROM (SELECT r.source_id, r.target_id, t.title AS anchor, r.score AS relevance, c.room - coalesce(k.taken, 0) AS room, row_number() OVER (PARTITION BY r.source_id ORDER BY r.score DESC, r.target_id) AS place
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM related) r JOIN capacity c ON c.post_id = r.source_id
+        JOIN (SELECT post_id, {d.match('title', '^[^ ]+ [^ ]+')} AS title FROM v_index) t ON t.post_id = r.target_id JOIN v_index s ON s.post_id = r.source_id
+        LEFT JOIN linked l ON l.source_id = r.source_id AND l.target_id = r.target_id LEFT JOIN keyword_pass p ON p.source_id = r.source_id AND p.target_id = r.target_id
+        LEFT JOIN (SELECT source_id, count(*) AS taken FROM keyword_pass GROUP BY source_id) k ON k.source_id = r.source_id
+        WHERE r.rank <= 4 * c.room + 10 AND r.score >= {C.min_relevance} AND l.source_id IS NULL AND p.source_id IS NULL AND {d.octets('t.title')} >= 6 AND {d.has('lower(s.parsed_text)', 'lower(t.title)')}) u WHERE place <= room""",
+)
+
 #: Queries: what each stands on, and its result.
 PLANS: dict[str, View] = {
     "related_pages": (("related",), lambda d: "SELECT source_id, target_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM related) t WHERE rank <= 30"),
@@ -256,6 +296,27 @@ PLANS: dict[str, View] = {
     ),
 }
 
+PLANS |= {
+    "graph_nodes": (("scope",), lambda d: "SELECT post_id AS node FROM scope"),
+    "graph_edges": (("v_link_graph",), lambda d: "SELECT source_post_id AS source, target_post_id AS target FROM v_link_graph WHERE location = 'content' AND target_post_id > 0"),
+    "page_text": (("pages",), lambda d: f"SELECT page_id, md5(body) AS text_hash, length(body) AS n FROM (SELECT page_id, {html_text('html', d)} AS body FROM pages) t"),
+    "page_links": (
+        ("pages",),
+        lambda d: f"SELECT page_id, href, count(*) AS n FROM (SELECT page_id, {d.explode}({d.groups('html', '(?is)<a[^>]*href=[^a-zA-Z0-9/#:]([^>]*)[^a-zA-Z0-9/#:.,]>', 1)}) AS href FROM pages) t WHERE href <> '' AND NOT {d.like('href', '^(#|javascript:|mailto:|tel:)')} GROUP BY page_id, href",
+    ),
+    "redacted": (("documents",), lambda d: "SELECT doc_id, md5(clean) AS text_hash, " + d.size(d.all_matches("clean", r"\[redacted\]")) + " AS masks FROM (SELECT doc_id, " + _scrubbed("text", d) + " AS clean FROM documents) t"),
+    "suggestions": (
+        ("keyword_pass", "text_pass"),
+        lambda d: f"SELECT source_id, target_id, engine, anchor, relevance, round(CAST(0.6 AS DOUBLE) * relevance + CAST(0.4 AS DOUBLE) * {naturalness('anchor', d)}, 4) AS confidence FROM (SELECT source_id, target_id, 'keyword' AS engine, anchor, relevance FROM keyword_pass UNION ALL SELECT source_id, target_id, 'tfidf' AS engine, anchor, relevance FROM text_pass) t",
+    ),
+}
+
+
+def _scrubbed(x: str, d: Spark) -> str:
+    for p in SECRET_SHAPES:
+        x = d.replace(x, p, "[redacted]")
+    return x
+
 
 def render(name: str, d: Spark, folder: str = "") -> str:
     """A plan's SQL, with the scans (Spark) and views that it stands on, each once."""
