@@ -17,7 +17,7 @@ class KeyedTable:
 
     def _pointer(self):
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def read(self) -> DataFrame | None:

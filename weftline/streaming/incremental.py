@@ -30,6 +30,7 @@ def index_pages(changes: DataFrame, table: KeyedTable, checkpoint: str) -> Strea
 
 def usage(log: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Requests and tokens by time window, provider and model; works for a table and, with late rows up to a bound, for a stream."""
+    log = log.withColumn("created_at", F.col("created_at").cast("timestamp"))
     rows = log.withWatermark("created_at", late) if log.isStreaming else log
     return rows.filter("operation <> 'error'").groupBy(F.window("created_at", window), "provider", "model").agg(
         F.count("*").alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
