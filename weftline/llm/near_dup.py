@@ -66,10 +66,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), bounds
     at = np.arange(len(data), dtype=np.int64)
     at -= np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(data)]])))
-    block = at >> 6  # long words: the place within 64 bytes, and which 64 bytes
     value = _BYTE[data] * _PLACE[at & 63]
-    if block.any():
-        value = _mix(value + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    far = np.flatnonzero(at > 63)  # in long words: the place within 64 bytes, and which 64 bytes
+    value[far] = _mix(value[far] + (at[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     value[gap] = 0
     return _mix(np.add.reduceat(value, first) + (last - first).astype(np.uint64)), bounds
 

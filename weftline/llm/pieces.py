@@ -44,18 +44,20 @@ class WordCache:
     shorter names, for a word, another one and the text that ends it, so that the word's ids are those of both.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000, shorter: Callable[[str], tuple[str, str] | None] | None = None):
-        self.encode_many, self.limit, self.shorter = encode_many, limit, shorter
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000, shorter: Callable[[str], tuple[str, str] | None] | None = None, strict: bool = False):
+        self.encode_many, self.limit, self.shorter, self.strict = encode_many, limit, shorter, strict
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
 
     def fetch(self, words: set[str]) -> dict[str, bytes]:
-        """A mapping that has all these words."""
+        """A mapping that has all these words (if strict, all but empty ones and those that begin with white space)."""
         if len(self.young) + len(words) > self.limit:
             self.old, self.young = self.young, {}
         missing = self._promoted(words)
         if missing and self.shorter:
+            if self.strict:
+                missing = {w for w in missing if w and not w[0].isspace()}
             parts = {w: p for w in missing if (p := self.shorter(w))}
             direct = missing.difference(parts)
             direct |= self._promoted({base for base, _ in parts.values()})
@@ -70,11 +72,16 @@ class WordCache:
     def _promoted(self, words: set[str]) -> set[str]:
         young, old = self.young, self.old
         missing = words.difference(young)
-        if old:
-            for w in missing.intersection(old):
-                young[w] = old[w]
-            missing = missing.difference(young)
-        return missing
+        if not old:
+            return missing
+        new = set()
+        for w in missing:
+            found = old.get(w)
+            if found is None:
+                new.add(w)
+            else:
+                young[w] = found
+        return new
 
     def _add(self, words: set[str]) -> None:
         todo = list(words)
@@ -126,7 +133,7 @@ class ByteVocabulary:
     """
 
     def __init__(self, spaced: Callable[[list[str]], list[bytes]], plain: Callable[[list[str]], list[bytes]]):
-        self.spaced, self.plain = WordCache(spaced, shorter=self._shorter), WordCache(plain, 20_000)
+        self.spaced, self.plain = WordCache(spaced, 500_000, self._shorter, strict=True), WordCache(plain, 20_000)
         self.spaced.ends |= dict(zip(STOPS, plain(list(STOPS)), strict=True))
 
     @staticmethod
@@ -137,8 +144,7 @@ class ByteVocabulary:
         """Packed little-endian 32-bit ids of each text; null is the empty text."""
         lists = [t.split(" ") if t else [""] for t in texts]
         heads = [words.pop(0) for words in lists]
-        wanted = set().union(*lists) if lists else set()
-        held = self.spaced.fetch({w for w in wanted.difference(self.spaced.young) if w and not w[0].isspace()} | wanted.intersection(self.spaced.young))
+        held = self.spaced.fetch(set().union(*lists) if lists else set())
         odd = self.plain.fetch(set(heads))
         out: list[bytes] = []
         for t, head, words in zip(texts, heads, lists, strict=True):
@@ -156,7 +162,7 @@ class ByteVocabulary:
 
     @staticmethod
     def _is_tight(part: str) -> bool:
-        return len(part) > 1 and part[0] == " " and " " not in part[1:]
+        return len(part) > 1 and part[0] == " " and not part[1].isspace() and " " not in part[1:]
 
 
 def byte_vocabulary(path: str) -> ByteVocabulary:

@@ -280,7 +280,8 @@ def _sent(kind: str, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     at = np.flatnonzero(_starts(part))
-    return batch(_SENT, part=part[at], kind=[kind] * len(at), data=[x.tobytes() for x in np.split(rows, at[1:])])
+    data = [rows[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(rows)), strict=False)]
+    return batch(_SENT, part=part[at], kind=[kind] * len(at), data=data)
 
 
 def _spans_sent(doc: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.RecordBatch:
