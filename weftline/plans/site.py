@@ -311,6 +311,51 @@ PLANS |= {
     ),
 }
 
+#: A call log by key: outcome classes in order of time.
+VIEWS["calls"] = (
+    ("events",),
+    lambda d: "SELECT event_id AS id, user_id % 7 + 1 AS key_id, CASE WHEN event_type = 'error' THEN CASE user_id % 4 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'quota' WHEN 2 THEN 'auth' ELSE 'server' END ELSE 'ok' END AS outcome FROM events",
+)
+VIEWS["status_events"] = (("v_suggestions",), lambda d: "SELECT source_post_id, target_post_id, status, max(id) AS seq FROM v_suggestions GROUP BY source_post_id, target_post_id, status")
+VIEWS["targets"] = (
+    ("v_index",),
+    lambda d: "SELECT post_id AS source_id, CASE post_id % 3 WHEN 0 THEN rtrim(url, '/') WHEN 1 THEN url ELSE concat(url, 'gone') END AS target_url FROM v_index" if isinstance(d, Duck) else "SELECT post_id AS source_id, CASE post_id % 3 WHEN 0 THEN rtrim('/', url) WHEN 1 THEN url ELSE concat(url, 'gone') END AS target_url FROM v_index",
+)
+VIEWS["replies"] = (
+    ("events",),
+    lambda d: "SELECT event_id AS id, concat(CASE WHEN event_id % 2 = 0 THEN '```json ' ELSE 'Here you are: ' END, '{\"links\":[{\"n\":', CAST(event_id % 5 AS " + d.text + "), ',\"anchor\":\"two words\",\"confidence\":', CAST(event_id % 3 AS " + d.text + "), '}]}', CASE WHEN event_id % 2 = 0 THEN ' ```' ELSE '' END) AS reply FROM events",
+)
+PLANS |= {
+    "key_states": (
+        ("calls",),
+        lambda d: """SELECT key_id, outcome, CASE outcome WHEN 'rate_limit' THEN 'cooling' WHEN 'server' THEN 'cooling' WHEN 'quota' THEN 'exhausted' WHEN 'auth' THEN 'errored' ELSE 'active' END AS state, CASE outcome WHEN 'rate_limit' THEN 30 WHEN 'server' THEN 10 ELSE 0 END AS cooldown,
+            CASE WHEN outcome IN ('rate_limit', 'quota', 'auth') THEN 'failover' WHEN outcome = 'server' THEN 'retry' ELSE 'stop' END AS next_action FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY id DESC) AS rn FROM calls) t WHERE rn = 1""",
+    ),
+    "status_fold": (("status_events",), lambda d: "SELECT source_post_id, target_post_id, status FROM (SELECT *, row_number() OVER (PARTITION BY source_post_id, target_post_id ORDER BY seq DESC, status) AS rn FROM status_events) t WHERE rn = 1"),
+    "ledger_active": (
+        ("status_events",),
+        lambda d: "SELECT a.source_post_id, count(*) AS active FROM (SELECT * FROM status_events WHERE status = 'applied') a LEFT JOIN (SELECT * FROM status_events WHERE status = 'rejected') r ON r.source_post_id = a.source_post_id AND r.target_post_id = a.target_post_id AND r.seq > a.seq WHERE r.seq IS NULL GROUP BY a.source_post_id",
+    ),
+    "url_resolve": (
+        ("targets", "v_index"),
+        lambda d: "SELECT t.source_id, coalesce(a.post_id, b.post_id, 0) AS target_id FROM targets t LEFT JOIN (SELECT post_id, url FROM v_index) a ON a.url = t.target_url LEFT JOIN (SELECT post_id, url FROM v_index) b ON b.url = concat(t.target_url, '/')",
+    ),
+    "llm_reply_parse": (
+        ("replies",),
+        lambda d: f"SELECT id, CAST({d.json('body', 'links[0].n')} AS INT) AS n, {d.json('body', 'links[0].anchor')} AS anchor, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), coalesce(CAST({d.json('body', 'links[0].confidence')} AS DOUBLE), CAST(0.7 AS DOUBLE)))) AS confidence FROM (SELECT id, {d.match('reply', '[{].*[}]')} AS body FROM replies) t WHERE CAST({d.json('body', 'links[0].n')} AS INT) BETWEEN 1 AND 15",
+    ),
+    "reason_histogram": (("calls",), lambda d: "SELECT outcome, count(*) AS n FROM calls WHERE outcome <> 'ok' GROUP BY outcome ORDER BY n DESC, outcome"),
+    "usage_formatted": (
+        ("spend",),
+        lambda d: f"SELECT key_id, CASE WHEN n < 1000 THEN CAST(n AS {d.text}) WHEN n < 1000000 THEN concat(CAST({d.intdiv('n', '1000')} AS {d.text}), 'k') ELSE concat(CAST({d.intdiv('n', '1000000')} AS {d.text}), 'M') END AS tokens FROM (SELECT key_id, sum(tokens_in + tokens_out) AS n FROM spend GROUP BY key_id) t",
+    ),
+    "scan_progress": (("v_index",), lambda d: "SELECT post_type, count(*) AS total, CAST(least(100, floor(100.0 * sum(CASE WHEN post_id % 4 > 0 THEN 1 ELSE 0 END) / count(*) + 0.5)) AS BIGINT) AS percent FROM v_index GROUP BY post_type"),
+    "content_systems": (
+        ("pages",),
+        lambda d: f"SELECT page_id, CASE WHEN {d.has('html', repr('elementor'))} THEN 'elementor' WHEN {d.has('html', repr('fl-builder'))} THEN 'beaver' WHEN {d.has('html', repr('[et_pb'))} THEN 'divi' WHEN {d.has('html', repr('[vc_'))} THEN 'wpbakery' WHEN {d.has('html', repr('<!-- wp:'))} THEN 'gutenberg' ELSE 'classic' END AS content_system FROM pages",
+    ),
+}
+
 
 def _scrubbed(x: str, d: Spark) -> str:
     for p in SECRET_SHAPES:
