@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import batch, materialise, prepare
 
-PAGE, TREE, QUERIES = 32, 8192, 4096
+#: Entries of a page, rows of a tree, queries of a block. A page is compared at once, so that it pays to be large.
+PAGE, TREE, QUERIES = 256, 8192, 4096
 
 
 class MTree:
@@ -42,6 +43,7 @@ class MTree:
         self.most = float(norms.max())
         self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(np.maximum(self.most - norms, 0))[:, None]], 1)
         self.pages: list[tuple] = []
+        self.whole = self.points[:, :-1]  # the integers, as doubles
         self._random = np.random.default_rng(11)
         self.root = self._build(np.arange(len(ids)), None)
 
@@ -54,7 +56,7 @@ class MTree:
         heads = [int(self._random.integers(len(own)))]
         near = self._distance(own, self.points[own[heads[0]]])
         nearest = np.zeros(len(own), np.int64)
-        while len(heads) < PAGE and near.max() > 0:
+        while len(heads) < min(PAGE, -(-len(own) * 2 // PAGE)) and near.max() > 0:
             heads.append(int(near.argmax()))
             d = self._distance(own, self.points[own[heads[-1]]])
             nearest[d < near] = len(heads) - 1
@@ -80,6 +82,8 @@ class MTree:
         point = np.append(query.astype(np.float64), 0.0)
         base = float(point @ point) + self.most
         slack = 1e-6 * (1 + base**0.5)
+        exact = self.most * float(point @ point) < 2.0**104  # then no score or part of one is over 2**52
+        vectors, factor = (self.whole, point[:-1]) if exact else (self.vectors, query)
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst on top
         limit = np.inf
         queue: list[tuple[float, int, float]] = [(0.0, self.root, -1.0)]
@@ -97,7 +101,10 @@ class MTree:
                 continue
             if leaf:
                 own = entries[keep]
-                scores = self.vectors[own] @ query
+                scores = (vectors[own] @ factor).astype(np.int64)
+                if len(own) > 4 * k:  # of the page's, only the k best and their ties can count
+                    high = scores >= np.partition(scores, len(own) - k - 1)[len(own) - k - 1]
+                    own, scores = own[high], scores[high]
                 if len(best) == k:
                     better = scores >= best[0][0]
                     own, scores = own[better], scores[better]
