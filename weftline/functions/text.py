@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from weftline.config import ABBREVIATIONS
+from weftline.session import ship
 
 _SPLIT = regex.compile(r"(?<=[.!?])\s+")
 _JOINED = regex.compile(r"([.!?])(?=\p{Lu})")
@@ -120,6 +121,7 @@ def summaries(pages: DataFrame, postings: DataFrame, budget: int = 40) -> DataFr
         for f in frames:
             yield pd.DataFrame({"post_id": f["post_id"], "summary": [summarise(t or "", dict(w) if w is not None else {}, budget) for t, w in zip(f["parsed_text"], f["weights"], strict=True)]})
 
+    ship(pages.sparkSession)
     return pages.join(weights, "post_id", "left").select("post_id", "parsed_text", "weights").mapInPandas(run, "post_id long, summary string")
 
 
@@ -131,6 +133,7 @@ def sentence_rows(pages: DataFrame) -> DataFrame:
             rows = [(p, k, s) for p, t in zip(f["post_id"], f["parsed_text"], strict=True) for k, s in enumerate(sentences(t))]
             yield pd.DataFrame(rows, columns=["post_id", "place", "sentence"])
 
+    ship(pages.sparkSession)
     return pages.select("post_id", "parsed_text").mapInPandas(run, "post_id long, place int, sentence string")
 
 
@@ -142,4 +145,5 @@ def linked_pages(pages: DataFrame, anchor: str, href: str) -> DataFrame:
             new = [insert_link(h or "", anchor, href) for h in f["html"]]
             yield pd.DataFrame({"page_id": f["page_id"], "html": new, "placed": [a != (b or "") and visible(a) == visible(b or "") for a, b in zip(new, f["html"], strict=True)]})
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, html string, placed boolean")

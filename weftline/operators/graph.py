@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import ship
+
 #: Graphs up to this many edges are ranked by one task, which takes less time than a job for each iteration.
 SMALL = 5_000_000
 
@@ -52,6 +54,7 @@ def _small(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float)
         yield pd.DataFrame({"node": own, "rank": rank})
 
     both = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).cast("long").alias("times")).union(edges.select("source", "target", "times"))
+    ship(nodes.sparkSession)
     return both.repartition(1).mapInPandas(run, "node long, rank double")
 
 
