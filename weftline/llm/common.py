@@ -6,14 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.session import ship
+
 #: Folder used where the session names none (tests, a laptop); removed at exit.
 _OWN: list[str] = []
 
@@ -41,16 +41,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Sends this package to the executors, once, and keeps Arrow batches of whole texts to a few MB."""
-    context = spark.sparkContext
-    if getattr(context, "_weftline_sent", None) is None:
-        folder = tempfile.mkdtemp(prefix="weftline-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = Path(__file__).parent.parent
-        with zipfile.ZipFile(f"{folder}/weftline.zip", "w") as z:
-            for file in sorted(root.rglob("*.py")):
-                z.write(file, file.relative_to(root.parent))
-        context.addPyFile(f"{folder}/weftline.zip")
-        context._weftline_sent = folder
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
