@@ -22,8 +22,8 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    """The document with the smallest id of each group of near duplicates: similarity 0.8 or more over five-word shingles."""
+    kept = near_dup.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
 
 

@@ -119,3 +119,17 @@ def test_pipeline_odd_rows(spark, columns):
     left = {r["doc_id"]: r for r in corpus_pipeline.stage_suffix_dedup(spark, near, DATA).collect()}
     assert left[1]["text"] == text and left[3]["text"].endswith(" other words " + "é" * 40) and left[3]["n_chars"] == len(left[3]["text"]) < 100
     assert left[4]["text"] is None and left[5]["text"] == ""
+
+
+def test_near_dup_stage_links_from_similarity_80(spark):
+    draw = random.Random(12)
+    texts = []
+    for size in (40, 43, 45, 46, 47, 48, 50, 52, 55, 58, 60, 70) * 4:  # shingles; a changed word costs five of them
+        words = [f"w{draw.randrange(10**6)}" for _ in range(size + 4)]
+        texts += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(sets), 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) == 36 and min(alike) < 0.8
+    want = {k for k in range(len(texts)) if k % 2 == 0 or alike[k // 2] < 0.8}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.stage_near_dup(spark, docs, DATA).collect()} == want

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import batch, groups, materialise, prepare, slices
 from weftline.llm.graph import components
 
-#: Registers: BANDS bands of ROWS. Two sets of similarity 0.85 miss each other with probability 3e-7, at 0.9 with 3e-11.
+#: Registers: BANDS bands of ROWS. Two sets of similarity 0.8 miss each other with probability 3e-5, at 0.85 with 3e-7, at 0.9 with 3e-11.
 BANDS, ROWS = 26, 5
 #: Base of the scale and rate of the variates; values stay under 2**16.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
