@@ -138,3 +138,36 @@ def test_near_vectors(spark, block, monkeypatch):
     assert [got[k]["component_id"] for k in range(108)] == want
     assert [got[k]["n_links"] for k in range(108)] == [sum(k in pair for pair in links) for k in range(108)]
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(200, 206))
+
+
+@pytest.mark.parametrize(("each", "count"), [(128, 100_000), (500, 100_000), (1581, 60_000)])  # codes of up to 65 thousand, 1 and 10 million rows
+def test_filters_shared_at_cosine_98(each, count):
+    draw = np.random.default_rng(16)
+    turn, halves = vector_dedup.codes(64, each)
+    missed = 0
+    for _ in range(0, count, 2000):
+        x, y = draw.normal(size=(2, 2000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.98 * x + (1 - 0.98**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+        own = []
+        for z in (x, y):
+            found, n = vector_dedup.decode(z, turn, halves, 0.98)
+            own.append(np.repeat(np.arange(2000), n) * each**2 + found)
+        missed += 2000 - len(np.unique(np.intersect1d(*own) // each**2))
+    assert missed <= count / 20_000
+
+
+def test_decode_finds_all_filters_in_the_gap():
+    draw = np.random.default_rng(17)
+    for size in (1, 2, 3, 5, 64):
+        x = draw.normal(size=(40, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        turn, (first, second) = vector_dedup.codes(size, 128)
+        found, n = vector_dedup.decode(x, turn, [first, second], 0.98)
+        cut = first.shape[1]
+        sums = ((x @ turn)[:, :cut] @ first.T)[:, :, None] + ((x @ turn)[:, cut:] @ second.T)[:, None, :]
+        sums = sums.reshape(40, -1)
+        want = [np.flatnonzero(s >= s.max() - vector_dedup.GAP * 0.2 * (2 / size) ** 0.5 - 1e-9).tolist() for s in sums]
+        assert [f.tolist() for f in np.split(found, np.cumsum(n)[:-1])] == want
+        assert size < 64 or max(map(len, want)) > 16

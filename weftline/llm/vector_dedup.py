@@ -1,10 +1,13 @@
 """Near-duplicate vectors of a label by spherical-cap filters.
 
 Directions are structured: a filter is a pair of random unit vectors, one for each half of the
-(randomly rotated) space, so that from the best few codes of either half the best pairs follow by
-sums alone. A vector goes to the LIST filters whose directions it exceeds most. Two vectors of cosine
-0.98 share a filter but for fewer than one pair in 20,000 (measured); all that share one are compared
-in double precision.
+(randomly rotated) space, so that the filters that a vector exceeds follow from sums alone. A vector
+goes to all filters whose sum is within a gap of its best, however many they are. The gap is GAP
+standard deviations of the difference that two vectors of cosine `least` have in a filter, whatever
+the number of codes. Two vectors of 64 dimensions and cosine 0.98 share a filter but for fewer than
+one pair in 20,000 at each number of codes (missed in measurement: 7 of 1,000,000 at 128 codes, 1 of
+500,000 at 500, 0 of 200,000 at 1,581, 0 of 60,000 at 5,000); all that share one are compared in double
+precision.
 
 Equal vectors are one node with a weight. No pairs leave a filter: what does is, for each member, the
 weight of its links that this filter is the first to show, and one member of its component. A filter
@@ -28,34 +31,40 @@ from pyspark.sql import functions as F
 from weftline.llm.common import batch, materialise, partitions, prepare
 from weftline.llm.graph import components
 
-LIST = 16
+#: How far under its best filter a vector's filters reach.
+GAP = 1.8
 #: Members of a filter that are compared in one block.
 BLOCK = 2000
 
 
 def codes(size: int, each: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rotation, and the codes of either half."""
+    """Rotation, and the codes of either half: as many as asked for, but in few dimensions no more than lie apart."""
     turn = np.linalg.qr(np.random.default_rng(2).normal(size=(size, size)))[0]
-    halves = [np.random.default_rng(k + 3).normal(size=(each, n)) for k, n in enumerate((size - size // 2, size // 2))]
-    return turn, [h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300) for h in halves]
+    halves = [np.random.default_rng(k + 3).normal(size=(min(each, 4 * 3 ** min(n, 16)), n)) for k, n in enumerate((size - size // 2, size // 2))]
+    halves = [h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300) for h in halves]
+    return turn, [np.array([[-1.0], [1.0]]) if h.shape[1] == 1 else h if h.shape[1] else h[:1] for h in halves]
 
 
-def decode(unit: np.ndarray, turn: np.ndarray, halves: list[np.ndarray]) -> np.ndarray:
-    """The filters of each row of unit vectors, ascending: the LIST best pairs have codes among the LIST best of either half."""
+def decode(unit: np.ndarray, turn: np.ndarray, halves: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The filters of all rows of unit vectors, one row's after the other's, and how many each row has."""
     turned = unit @ turn
-    cut, tops, scores = halves[0].shape[1], [], []
+    cut = halves[0].shape[1]
+    gap = GAP * (2 * max(1 - least, 0.0)) ** 0.5 * (2 / unit.shape[1]) ** 0.5 + 1e-9
+    near = []  # codes of a half that are within the gap of the half's best, by row
     for own, code in ((turned[:, :cut], halves[0]), (turned[:, cut:], halves[1])):
         s = own @ code.T
-        top = np.argpartition(-s, LIST, axis=1)[:, :LIST]
-        tops.append(top)
-        scores.append(np.take_along_axis(s, top, 1))
-    sums = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), -1)
-    best = np.argpartition(-sums, LIST, axis=1)[:, :LIST]
-    found = np.take_along_axis(tops[0], best // LIST, 1).astype(np.int64) * len(halves[0]) + np.take_along_axis(tops[1], best % LIST, 1)
-    return np.sort(found, axis=1)
-
-
-def _encoded(vectors: DataFrame, each: int) -> DataFrame:
+        s = s.max(1, keepdims=True) - s
+        row, k = np.nonzero(s <= gap)
+        near.append((row, k, s[row, k]))
+    (row, i, short), (other, j, rest) = near
+    n = np.bincount(other, minlength=len(unit))
+    at = np.repeat((np.cumsum(n) - n)[row] - np.cumsum(n[row]) + n[row], n[row]) + np.arange(n[row].sum())
+    row, i, short = (np.repeat(x, n[row]) for x in (row, i, short))
+    keep = short + rest[at] <= gap
+    return i[keep] * len(halves[1]) + j[at[keep]], np.bincount(row[keep], minlength=len(unit))
+
+
+def _encoded(vectors: DataFrame, each: int, least: float) -> DataFrame:
     schema = pa.schema([("vec_id", pa.int64()), ("digest", pa.binary()), ("vector", pa.binary()), ("filters", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +84,8 @@ def _encoded(vectors: DataFrame, each: int) -> DataFrame:
                     known[size] = codes(size, each)
                 v = np.stack([x for _, x in own])
                 scaled = v / np.abs(v).max(1, keepdims=True)
-                found = decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), *known[size])
-                for (k, x), f in zip(own, found, strict=True):
+                found, n = decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), *known[size], least)
+                for (k, x), f in zip(own, np.split(found, np.cumsum(n)[:-1]), strict=True):
                     space = hashlib.blake2b(f"{size}/{labels[k]}".encode(), digest_size=8).digest()
                     out["vector"][k] = x.tobytes()
                     out["digest"][k] = hashlib.blake2b(space + x.tobytes(), digest_size=16).digest()
@@ -92,13 +101,41 @@ def _filters(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
-                yield batch(schema, filter=np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int64), node=np.repeat(np.asarray(rows.column(0)), LIST))
+                filters = rows.column(1).to_pylist()
+                yield batch(schema, filter=np.frombuffer(b"".join(filters), np.int64), node=np.repeat(np.asarray(rows.column(0)), [len(f) // 8 for f in filters]))
 
     return nodes.select("node", "filters").mapInArrow(run, "filter long, node long")
 
 
-def _compared(key: int, cross: bool, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vector: np.ndarray, filters: np.ndarray, least: float):
-    """Links of a cell: (node, weight of links first shown here, a member of the node's component)."""
+def _below(key: int, filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which list, and filter, of all filters under key."""
+    flat = np.frombuffer(b"".join(filters), np.int64)
+    low = flat < key
+    return np.repeat(np.arange(len(filters)), [len(f) // 8 for f in filters])[low], flat[low]
+
+
+def _shared(a: np.ndarray, b: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether rows a and b of each pair have one of the lists' filters in common; the filters are gone through in parts."""
+    own, other = np.unique(a), np.unique(b)
+    rows = np.union1d(own, other)
+    named = np.isin(lists[0], rows)
+    row = np.searchsorted(rows, lists[0][named])
+    _, column, count = np.unique(lists[1][named], return_inverse=True, return_counts=True)
+    column, row = column[(often := count[column] > 1)], row[often]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(own), len(other)), bool)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        part = slice(*np.searchsorted(column, (first, first + 2048)))
+        has = np.zeros((len(rows), min(2048, int(column[-1]) + 1 - first)), np.float32)
+        has[row[part], column[part] - first] = 1
+        out |= has[np.searchsorted(rows, own)] @ has[np.searchsorted(rows, other)].T > 0
+    return out[np.searchsorted(own, a), np.searchsorted(other, b)]
+
+
+def _compared(cross: bool, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vector: np.ndarray, filters: tuple[np.ndarray, np.ndarray], least: float):
+    """Links of a cell: (node, weight of links first shown here, a member of the node's component); filters: those under the cell's."""
     scale = np.abs(vector).max(1, keepdims=True)
     unit = vector / scale
     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
@@ -117,12 +154,11 @@ def _compared(key: int, cross: bool, block: np.ndarray, node: np.ndarray, weight
         a += at
         keep = (a < b) & (block[a] != block[b]) if cross else a < b
         a, b = a[keep], b[keep]
-        for c in range(0, len(a), 20_000):
-            x, y = a[c : c + 20_000], b[c : c + 20_000]
-            shared = (filters[x][:, :, None] == filters[y][:, None, :]).any(2)
-            first = filters[x, shared.argmax(1)] == key
-            np.add.at(total, x[first], weight[y[first]])
-            np.add.at(total, y[first], weight[x[first]])
+        if not len(a):
+            continue
+        first = ~_shared(a, b, filters)
+        np.add.at(total, a[first], weight[b[first]])
+        np.add.at(total, b[first], weight[a[first]])
         linked[a] = linked[b] = True
         for x in np.unique(a):
             own = find(x)
@@ -139,7 +175,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "v
     prepare(spark)
     vectors = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
     each = max(128, int(vectors.count() ** 0.5 / 2))  # filters grow with the rows, so that members of one do not
-    rows = materialise(_encoded(vectors, each))
+    rows = materialise(_encoded(vectors, each, least))
     valid = rows.filter("digest is not null and vec_id is not null")
     classes = valid.groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     nodes = materialise(valid.join(classes, "digest").filter("vec_id = node").dropDuplicates(["digest"]).select("node", "weight", "vector", "filters"))
@@ -165,9 +201,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "v
             found = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if b - a > 1:
-                    f = np.frombuffer(b"".join(filters[a:b]), np.int64).reshape(b - a, -1)
+                    f = _below(int(key[a]), filters[a:b])
                     v = np.frombuffer(b"".join(vector[a:b]), np.float64).reshape(b - a, -1)
-                    own = _compared(int(key[a]), bool(i[a] != j[a]), block[a:b], node[a:b], weight[a:b], v, f, least)
+                    own = _compared(bool(i[a] != j[a]), block[a:b], node[a:b], weight[a:b], v, f, least)
                     if len(own[0]):
                         found.append(own)
             if found:
