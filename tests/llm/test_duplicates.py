@@ -109,6 +109,22 @@ def test_suffix_dedup_odd_rows(spark, docs):
     assert suffix_dedup.dedup(docs([])).count() == 0
 
 
+@pytest.mark.parametrize(("crowd", "many"), [(64, 2000), (3, 5)])
+def test_suffix_dedup_of_repeated_rows(spark, docs, crowd, many, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    draw = random.Random(15)
+    some = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+    line, passage = some(16)[:90], some(50)
+    rows = [(k, f"{some(30)} {line} {some(30)}" + (passage if k % 4 == 0 else "")) for k in range(12)]
+    want = brute(rows)
+    found = suffix_dedup.dedup(docs([r for r in rows for _ in range(1 + 2 * (r[0] % 3))])).collect()
+    assert len(found) == 36 and sum(w[1] > 0 for w in want.values()) == 2
+    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in found)
+    two = docs([(1, rows[1][1]), (1, rows[1][1]), (1, rows[1][1][:200] + some(9)), (2, rows[2][1])])
+    assert all(r["n_removed"] == 0 for r in suffix_dedup.dedup(two).collect())
+
+
 def test_deep_shallow_sorts():
     draw = np.random.default_rng(8)
     rows = draw.integers(97, 99, (900, 60)).astype(np.uint8)

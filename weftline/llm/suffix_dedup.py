@@ -223,9 +223,10 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_windows(around: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(around: np.ndarray, key: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """Which windows repeat an earlier row's, for rows in order of their place in the corpus.
 
+    Rows of one place are a row of the table and its repeats: a window repeats none that starts in its own place.
     around: a row has the bytes from length - ANCHOR before its anchor to length after its start, EDGE
     outside its text. The result has, for each row, the windows by how far they start before the anchor.
     """
@@ -237,18 +238,17 @@ def repeated_windows(around: np.ndarray, key: np.ndarray, length: int) -> np.nda
     classes = []
     for rows in (np.concatenate([named, around[:, side:]], 1), np.concatenate([named, around[:, :side][:, ::-1]], 1)):
         order, common = deep_shallow(np.ascontiguousarray(rows))
-        place = np.empty(m, np.int64)
-        place[order] = np.arange(m)
-        classes.append((common, place))
-    (right, right_place), (left, left_place) = classes
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        classes.append((common, rank))
+    (right, right_rank), (left, left_rank) = classes
     inside = around != EDGE
     for before in range(side + 1):
-        by_right = np.cumsum(right < 8 + length - before)[right_place]
-        by_left = np.cumsum(left < 8 + before)[left_place]
+        by_right = np.cumsum(right < 8 + length - before)[right_rank]
+        by_left = np.cumsum(left < 8 + before)[left_rank]
         pair = by_right * (m + 1) + by_left
-        first = np.ones(m, bool)
-        first[np.unique(pair, return_index=True)[1]] = False
-        out[:, before] = first & inside[:, side - before] & inside[:, side - before + length - 1]
+        _, first, which = np.unique(pair, return_index=True, return_inverse=True)
+        out[:, before] = (place != place[first[which]]) & inside[:, side - before] & inside[:, side - before + length - 1]
     return out
 
 
@@ -424,7 +424,8 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, length: int, parts: int) -> Da
         rows = got["contexts"]
         if len(rows):
             rows = rows[np.lexsort((rows["pos"], rows["doc"]))]
-            found = repeated_windows(np.ascontiguousarray(rows["bytes"]), rows["key"], length)
+            place = np.cumsum(_starts(rows["doc"], rows["pos"]))
+            found = repeated_windows(np.ascontiguousarray(rows["bytes"]), rows["key"], place, length)
             hit = found.any(1)
             nearest = found[hit].argmax(1)
             farthest = side - found[hit][:, ::-1].argmax(1)
