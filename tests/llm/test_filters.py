@@ -97,6 +97,25 @@ def test_search(spark):
     assert metric_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_search_of_repeated_ids(spark, monkeypatch):
+    draw = np.random.default_rng(18)
+    x = draw.normal(size=(300, 8))
+    rows = list(enumerate(x)) + [(50, x[50])] * 5 + [(100, x[100] * 3)] * 2 + [(150, draw.normal(size=8))] + [(k, x[k] * 1.5) for k in range(40, 60)] + [(k, x[k]) for k in range(60, 90) for _ in range(3)]
+    whole = [(k, np.floor(256 * v).astype(np.int64)) for k, v in rows]
+    want = set()
+    for q in range(0, 300, 50):
+        scores = {}
+        for own in (v for k, v in whole if k == q):
+            for k, v in whole:
+                if k != q:
+                    scores[k] = max(scores.get(k, -(2**62)), int(own @ v))
+        want |= {(q, n, k, scores[k]) for n, k in enumerate(sorted(scores, key=lambda k: (-scores[k], k))[:5], 1)}
+    for tree in (8192, 60):
+        monkeypatch.setattr(metric_search, "TREE", tree)
+        found = metric_search.top_k(spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")).collect()
+        assert len(found) == len(want) and {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == want
+
+
 def test_pipeline(spark, columns):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     first = docs

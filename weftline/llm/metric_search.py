@@ -13,6 +13,7 @@ asks for, in blocks of bounded size.
 
 Odd rows: vectors null or holding null or non-finite components, and null ids, take no part; vectors of
 different lengths do not meet; a query is never its own candidate, nor are rows that share its id;
+repeated rows are one query and one candidate, of an id with several vectors the best score counts;
 fewer candidates than k give fewer ranks; ties go to the smaller id.
 """
 
@@ -39,6 +40,7 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.repeats = len(np.unique(ids)) < len(ids)
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         self.most = float(norms.max())
         self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(np.maximum(self.most - norms, 0))[:, None]], 1)
@@ -78,13 +80,14 @@ class MTree:
         return np.sqrt((d * d).sum(1))
 
     def search(self, query: np.ndarray, k: int, own_id: int) -> list[tuple[int, int]]:
-        """(score, id) of the best k, best first."""
+        """(score, id) of the best k ids, best first."""
         point = np.append(query.astype(np.float64), 0.0)
         base = float(point @ point) + self.most
         slack = 1e-6 * (1 + base**0.5)
         exact = self.most * float(point @ point) < 2.0**104  # then no score or part of one is over 2**52
         vectors, factor = (self.whole, point[:-1]) if exact else (self.vectors, query)
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst on top
+        held: dict[int, int] = {}  # its scores by id
         limit = np.inf
         queue: list[tuple[float, int, float]] = [(0.0, self.root, -1.0)]
         while queue:
@@ -102,18 +105,32 @@ class MTree:
             if leaf:
                 own = entries[keep]
                 scores = (vectors[own] @ factor).astype(np.int64)
-                if len(own) > 4 * k:  # of the page's, only the k best and their ties can count
-                    high = scores >= np.partition(scores, len(own) - k - 1)[len(own) - k - 1]
-                    own, scores = own[high], scores[high]
+                names = self.ids[own]
+                if (names == own_id).any():
+                    names, scores = names[names != own_id], scores[names != own_id]
+                if self.repeats:  # the best of each id
+                    order = np.lexsort((-scores, names))
+                    names, first = np.unique(names[order], return_index=True)
+                    scores = scores[order[first]]
+                if len(names) > 4 * k:  # of the page's, only the k best and their ties can count
+                    high = scores >= np.partition(scores, len(names) - k)[len(names) - k]
+                    names, scores = names[high], scores[high]
                 if len(best) == k:
                     better = scores >= best[0][0]
-                    own, scores = own[better], scores[better]
-                for score, name in zip(scores.tolist(), self.ids[own].tolist(), strict=True):
-                    if name != own_id:
-                        if len(best) < k:
-                            heapq.heappush(best, (score, -name))
-                        elif (score, -name) > best[0]:
-                            heapq.heapreplace(best, (score, -name))
+                    names, scores = names[better], scores[better]
+                for score, name in zip(scores.tolist(), names.tolist(), strict=True):
+                    if name in held:
+                        if score > held[name]:
+                            best.remove((held[name], -name))
+                            best.append((score, -name))
+                            heapq.heapify(best)
+                            held[name] = score
+                    elif len(best) < k:
+                        heapq.heappush(best, (score, -name))
+                        held[name] = score
+                    elif (score, -name) > best[0]:
+                        del held[-heapq.heapreplace(best, (score, -name))[1]]
+                        held[name] = score
                 if len(best) == k:
                     limit = max(base - 2.0 * best[0][0], 0.0) ** 0.5 + slack
             else:
@@ -151,7 +168,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     prepare(vectors.sparkSession)
     rows = materialise(_integers(vectors.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<double>")), scale))
     trees = -(-rows.count() // TREE) or 1
-    queries = rows.filter(F.col("vec_id") % every == 0)
+    queries = rows.filter(F.col("vec_id") % every == 0).distinct()
     blocks = -(-queries.count() // QUERIES) or 1
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,5 +190,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
 
     keys = ("tree", "size", "block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id of several vectors is found in several trees
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
