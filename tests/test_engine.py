@@ -68,6 +68,25 @@ def test_summaries_keep_to_the_budget(spark):
         assert len(row["summary"].split()) <= 45
 
 
+def test_summaries_pass_over_questions_and_site_wide_wording(spark):
+    plain = "Copper pipes carry water through every old house here."
+    for other in ("Copper pipes with reference to brass carry water through houses.", "Do copper pipes carry warm houses\uff1f they asked.", "Home contact privacy terms copper pipes carry water about."):
+        pages = spark.createDataFrame([(1, f"{other} {plain}")], "post_id long, parsed_text string")
+        words = [*{w for s in (plain, other) for w in map(text.normal_word, s.split())}]
+        common = frozenset("home contact privacy terms about".split())
+        terms = spark.createDataFrame([(1, w, 3 if w not in plain.lower() else 2) for w in words if w not in common], "post_id long, term string, tf int")
+        assert text.summaries(pages, terms, 9, site_wide=common).first()["summary"] == plain
+
+
+def test_summaries_query_knows_the_site_wide_terms(spark, monkeypatch):
+    seen, view = {}, more._view
+    common = spark.createDataFrame([("home", 9), ("contact", 8)], "term string, df long")
+    monkeypatch.setattr(more, "_view", lambda spark, sf_dir, name: common if name == "site_wide" else view(spark, sf_dir, name))
+    monkeypatch.setattr(text, "summaries", lambda pages, postings, **given: seen.update(given))
+    more.summaries(spark, DATA)
+    assert seen["site_wide"] == {"home", "contact"}
+
+
 @pytest.mark.parametrize("small", [10**6, 0])
 def test_pagerank_by_either_way(spark, small):
     edges = [(1, 2), (2, 3), (3, 1), (3, 1), (4, 4), (1, 9), (8, 1)]

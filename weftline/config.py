@@ -22,6 +22,12 @@ NOISE_WORDS = ("part", "parts", "vol", "volume", "chapter", "edition", "section"
 GENERIC_ANCHORS = ("click here", "read more", "here", "this", "learn more", "more", "link", "this page", "continue reading")
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "vs", "etc", "eg", "ie", "fig", "no", "vol", "pp", "approx", "inc", "ltd", "co")
+# Marks and lower-case phrases that make a sentence a question.
+QUESTION_MARKS = ("?", "\u061f", "\u0e56", "\u2047", "\uff1f")
+QUESTION_PHRASES = (
+    "answer:", "assertion (a)", "choose the correct", "codes:", "consider the following", "explanation:", "given below", "how many of the above", "match list", "reason (r)",
+    "select the correct", "statement 1", "statement i:", "the correct answer is", "which of the following", "which one of the following", "with reference to",
+)
 # Click-through rates of the first ten ranks.
 CLICK_RATES = (0.28, 0.15, 0.11, 0.08, 0.06, 0.048, 0.039, 0.032, 0.028, 0.025)
 # Cents for a million tokens in and out, in order of precedence.

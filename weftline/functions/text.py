@@ -10,7 +10,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.config import ABBREVIATIONS
+from weftline.config import ABBREVIATIONS, QUESTION_MARKS, QUESTION_PHRASES
 from weftline.session import ship
 
 _SPLIT = regex.compile(r"(?<=[.!?])\s+")
@@ -53,6 +53,10 @@ def furniture_ratio(words: list[str], site_wide: set[str]) -> float:
     return sum(w in site_wide for w in words) / len(words) if words else 0.0
 
 
+def is_question(sentence: str) -> bool:
+    return any(m in sentence for m in QUESTION_MARKS) or any(p in sentence.lower() for p in QUESTION_PHRASES)
+
+
 def trim_to_words(text: str, n: int) -> str:
     words = text.split()
     return text if len(words) <= n else " ".join(words[:n]).rstrip(" ,;:") + "…"
@@ -70,7 +74,7 @@ def summarise(text: str, weights: dict[str, int], budget: int = 40, site_wide: f
         is_stem = sentence.endswith(":") or any(p in sentence.lower() for p in ("the following", "given below"))
         if 8 <= len(words) <= 45:
             score = sum(weights.get(w, 0) for w in set(words)) / len(words) ** 0.5
-            score *= 0.15 if "?" in sentence else 0.3 if k - stem <= 3 else 1.0
+            score *= 0.15 if is_question(sentence) else 0.3 if k - stem <= 3 else 1.0
             score *= 0.4 if ":" in sentence and len(sentence.split(":")[0].split()) <= 4 else 1.0
             score *= 0.2 if furniture_ratio(words, site_wide) >= 0.5 else 1.0
             scored.append((-score, k, sentence, words))
@@ -111,15 +115,15 @@ def visible(page: str) -> str:
     return " ".join(html.unescape(_TAG.sub("", page)).split())
 
 
-def summaries(pages: DataFrame, postings: DataFrame, budget: int = 40) -> DataFrame:
-    """(post_id, summary); pages: post_id, parsed_text; postings: post_id, term, tf without site-wide terms."""
+def summaries(pages: DataFrame, postings: DataFrame, budget: int = 40, site_wide: frozenset[str] = frozenset()) -> DataFrame:
+    """(post_id, summary); pages: post_id, parsed_text; postings: post_id, term, tf without the site-wide terms."""
     from pyspark.sql import functions as F
 
     weights = postings.groupBy("post_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("weights"))  # stored terms of a page are bounded
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"post_id": f["post_id"], "summary": [summarise(t or "", dict(w) if w is not None else {}, budget) for t, w in zip(f["parsed_text"], f["weights"], strict=True)]})
+            yield pd.DataFrame({"post_id": f["post_id"], "summary": [summarise(t or "", dict(w) if w is not None else {}, budget, site_wide) for t, w in zip(f["parsed_text"], f["weights"], strict=True)]})
 
     ship(pages.sparkSession)
     return pages.join(weights, "post_id", "left").select("post_id", "parsed_text", "weights").mapInPandas(run, "post_id long, summary string")

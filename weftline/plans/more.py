@@ -24,8 +24,10 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _view(spark, sf_dir, "postings").join(_view(spark, sf_dir, "site_wide").select("term"), "term", "left_anti")
-    return text.summaries(_view(spark, sf_dir, "v_index"), terms)
+    site_wide = _view(spark, sf_dir, "site_wide").select("term")
+    terms = _view(spark, sf_dir, "postings").join(site_wide, "term", "left_anti")
+    common = frozenset(r["term"] for r in site_wide.collect())  # each in over df_ceiling of the pages, which store stored_terms each: 750 at most
+    return text.summaries(_view(spark, sf_dir, "v_index"), terms, site_wide=common)
 
 
 def insert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
