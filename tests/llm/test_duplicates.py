@@ -122,7 +122,8 @@ def test_suffix_dedup_of_repeated_rows(spark, docs, crowd, many, monkeypatch):
     assert len(found) == 36 and sum(w[1] > 0 for w in want.values()) == 2
     assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in found)
     two = docs([(1, rows[1][1]), (1, rows[1][1]), (1, rows[1][1][:200] + some(9)), (2, rows[2][1])])
-    assert all(r["n_removed"] == 0 for r in suffix_dedup.dedup(two).collect())
+    lost = [r["n_removed"] for r in suffix_dedup.dedup(two).collect()]  # the text that differs is a document of its own, before or after the equal two
+    assert sorted(lost) in ([0, 0, 0, 200], [0, 0, 0, 201], [0, 0, 200, 200], [0, 0, 201, 201])
 
 
 def test_deep_shallow_sorts():
@@ -187,3 +188,32 @@ def test_decode_finds_all_filters_in_the_gap():
         want = [np.flatnonzero(s >= s.max() - vector_dedup.GAP * 0.2 * (2 / size) ** 0.5 - 1e-9).tolist() for s in sums]
         assert [f.tolist() for f in np.split(found, np.cumsum(n)[:-1])] == want
         assert size < 64 or max(map(len, want)) > 16
+
+
+def test_suffix_dedup_of_one_id_with_different_texts(spark, docs):
+    draw = random.Random(21)
+    some = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+    passage = some(40)
+    texts = [f"{some(20)} {passage} {some(20)}" for _ in range(4)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[3]), (3, None), (None, texts[0])]
+    got = suffix_dedup.dedup(docs(rows)).collect()
+    removed = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)
+    assert len(got) == 7 and all(n == 0 for k, _, n in removed if k in (0, 1))
+    assert all(len(passage) <= n <= len(passage) + 9 for k, size, n in removed if k in (2, 3) and size)
+
+
+def test_without_repeats_keeps_columns_of_any_name(spark):
+    passage = "a passage that stands in both of the documents, word by word and from its first letter to the last one of them all"
+    rows = [(1, f"first {passage} one", "s1", 1.5, [1], "k1", None), (2, f"second {passage} two", "s2", 2.5, [2], "k2", 7), (3, None, "s3", None, None, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, spans string, wanted double, start array<int>, key string, `number` int")
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
+    assert got[1] == rows[0] and got[2][2:] == rows[1][2:] and got[3] == rows[2] and len(got[2]["text"]) < 30
+    assert suffix_dedup.without_repeats(docs).schema == docs.schema
+
+
+def test_near_vectors_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, label int, node string, filter int"
+    rows = [(1, [1.0, 0.0], 0, "x", 1), (1, [1.0, 0.0], 0, "y", 2), (None, [1.0, 0.0], 0, "z", 3), (4, [1.0, 0.001], 0, "z", 3)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["vec_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (4, 1, False)]
+    assert vector_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -19,9 +19,11 @@ need comparing only if they share an anchor.
 An anchor with very many different surroundings (a line in every document) is not gathered in one
 task: its windows are spread by their own hashes, of which each task sends the first only.
 
-Odd rows: null texts count as empty; documents under `length` bytes keep everything; rows that share a
-doc_id count as one document and get the union of their spans; a null doc_id takes no part and keeps
-everything. Other columns are not read.
+Odd rows: null texts count as empty; documents under `length` bytes keep everything; equal rows are one
+document, rows of one doc_id with different texts are documents of their own (in the order of the
+texts' hashes); a null doc_id takes no part and keeps everything; very long texts are gone through
+whole; an empty table gives an empty result. Columns other than doc_id and text are not read;
+without_repeats passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,8 +208,6 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order[open_], words = order[open_][by], words[by]
         new = _starts(group[open_], words)
         inner = np.flatnonzero(new & ~_starts(group[open_]))
-        differ = words[inner] ^ words[inner - 1]
-        common[open_[inner]] = depth + (64 - np.ceil(np.log2(differ.astype(np.float64) + 1)).astype(np.int64).clip(1, 64)) // 8
         exact = np.ascontiguousarray(rows[order[open_[inner]], depth : depth + 8]) != np.ascontiguousarray(rows[order[open_[inner - 1]], depth : depth + 8])
         common[open_[inner]] = depth + exact.argmax(1) if len(inner) else 0
         group[open_] = np.cumsum(new) + (group[open_].max() + 1 if len(open_) else 0)
@@ -439,18 +439,34 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, length: int, parts: int) -> Da
     return sent.mapInArrow(sort, "doc_id long, start int, end int, key long")
 
 
-def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """All rows and columns of docs, with spans (array of start, end, or null): what to cut from the text's bytes."""
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts, with doc_id renumbered in order where rows of one doc_id have different texts."""
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    if texts.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low != high").isEmpty():
+        return texts.drop("hash")
+    named = texts.select("doc_id", "hash").dropna().distinct()
+    order = named.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    numbers = materialise(order.withColumn("number", F.monotonically_increasing_id()))  # partitions are in order, rows are in them
+    return texts.join(numbers, ["doc_id", "hash"], "left").drop("doc_id", "hash").withColumnRenamed("number", "doc_id")
+
+
+def _joined(docs: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
+    """All rows and columns of docs, with spans (array of start, end, or null): what to cut from the text's bytes.
+
+    Names are the operator's own (the second result has those of docs' columns in order), so that none clash.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(*[c for c in docs.columns if c not in ("doc_id", "text", "spans", "wanted")], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = ["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
+    texts = docs.select(*[F.col(f"`{c}`").alias(n) if n != "text" else F.col("text").cast("string") for c, n in zip(docs.columns, own, strict=True)], F.col("doc_id").cast("long").alias("doc_id"))
     parts = partitions(spark, texts.select("doc_id", "text"), 8)
+    texts = _numbered(texts)
     found = materialise(_compare(_find(texts.filter("doc_id is not null and text is not null").select("doc_id", "text"), length, parts), length))
     spread_out = texts.repartition(parts, "doc_id")  # twice in one plan: shuffled once
     wanted = found.filter("end <= 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "key")).alias("wanted"))
     spans = found.filter("end > 0").unionByName(_cut_out(spread_out, wanted, length, parts))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return spread_out.join(spans.hint("shuffle_hash"), "doc_id", "left")
+    return spread_out.join(spans.hint("shuffle_hash"), "doc_id", "left"), own
 
 
 def _kept(data: bytes, own: pa.Scalar) -> tuple[bytes, int]:
@@ -484,7 +500,8 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFr
                     out[name].append(x)
             yield batch(schema, **out)
 
-    return _joined(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans").mapInArrow(cut, ddl)
+    rows, own = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+    return rows.select(*own, "spans").mapInArrow(cut, ddl)
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -510,4 +527,5 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 columns[k] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    return _joined(docs, length).select(*names, "spans").mapInArrow(run, docs.schema)
+    rows, own = _joined(docs, length)
+    return rows.select(*own, "spans").mapInArrow(run, docs.schema)
