@@ -15,7 +15,8 @@ with many members is dealt out in blocks, which meet in pairs in different tasks
 
 Odd rows: vectors that are null, zero or hold null or non-finite components, and rows with a null
 label, link with nothing; so do vectors of different lengths. A null vec_id has a null component_id
-and kept true. Rows that share a vec_id count as vectors of their own with one id.
+and kept true. Rows that share a vec_id count as vectors of their own with one id. An empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -225,6 +226,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "v
     links = materialise(cells.mapInArrow(run, "node long, n long, other long"))
     joined = components(links.filter("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
-    out = rows.select("vec_id", "digest").join(classes, "digest", "left").join(counts, "node", "left").join(joined, "node", "left")
+    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left").join(counts, "node", "left").join(joined, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component", "node", "vec_id"))
     return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
