@@ -10,8 +10,11 @@ Labelled pages are those of a bounded sample (sample_pages, the smallest hashes
 their article with an article or main element; what lies in it, furniture aside, is main text.
 
 Odd rows: a null page is an empty one; without words, or where no run has a positive sum, the text is
-empty (n_chars 0). Unclosed, stray and cut-off tags are tolerated. Rows that repeat give a row each.
-Other columns but page_id, url and html are not read.
+empty (n_chars 0). Unclosed, stray and cut-off tags are tolerated, at any depth and in time in
+proportion to the page: a head without an end tag ends where something stands that it can't hold, other
+silent elements without one are as if they were not there, but scripts and their like, which hide all
+that follows. Pages of any length are gone through whole. Rows that repeat give a row each, an empty
+table none. Other columns than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template iframe object svg math canvas head title textarea select option button audio video datalist".split())
+#: Those whose content is raw text, up to the end of the page if they have no end tag.
+RAW = frozenset("script style textarea title noscript iframe".split())
+_HEAD_ENDS = re.compile(r"</head\s*>|(?=<(?!(?:title|meta|link|script|style|base|noscript|template)\b)[a-z])", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: Furniture by element, by role, and by words in class or id.
@@ -78,22 +84,28 @@ def _furniture(name: str, attributes: str, in_article: bool) -> str:
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, inside): tags have an empty text; a tag that parts words of a block gives a text of one space first."""
     stack: list[tuple[str, str]] = []  # open elements with the furniture they begin
+    blocks: list[str] = []  # the names of those that are not inline
+    opened: Counter[str] = Counter()
     around: list[str] = []  # furniture around, innermost last
+    endless: set[str] = set()  # silent elements that no end tag follows
     articles, at, end = 0, 0, len(page)
 
     def pop(k: int) -> None:
         nonlocal articles
         for name, kind in stack[k:]:
             articles -= name in ("article", "main")
+            opened[name] -= 1
             if kind:
                 around.pop()
+            if name not in INLINE or name == "a":
+                blocks.pop()
         del stack[k:]
 
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            block = next((n for n, _ in reversed(stack) if n not in INLINE or n == "a"), "")
+            block = blocks[-1] if blocks else ""
             yield "w:" + (around[-1] if around else block), entities.unescape(page[at:stop]), articles > 0 and not around
         if not m:
             return
@@ -101,12 +113,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if not name:
             continue
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if k >= 0:
-                pop(k)
+            if opened[name] > 0:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         elif name in SILENT and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-            at = close.end() if close else end
+            if name not in endless:
+                close = (_HEAD_ENDS if name == "head" else re.compile(rf"</{re.escape(name)}\s*>", re.I)).search(page, at)
+                if close:
+                    at = close.end()
+                elif name in RAW:
+                    at = end
+                else:
+                    endless.add(name)
         elif name not in VOID:
             if name not in INLINE:
                 while stack and (stack[-1][0] in INLINE and stack[-1][0] != "a" and len(stack) > 1 and stack[-2][0] == "p"):
@@ -115,6 +132,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     pop(len(stack) - 1)
             kind = _furniture(name, m[3], articles > 0)
             stack.append((name, kind))
+            opened[name] += 1
+            if name not in INLINE or name == "a":
+                blocks.append(name)
             if kind:
                 around.append(kind)
             articles += name in ("article", "main")
