@@ -11,8 +11,9 @@ Rows are dealt evenly to trees of about TREE rows, queries to blocks; each tree
 one task, and the best of all trees are merged. That is all queries against all rows, which the task
 asks for, in blocks of bounded size.
 
-Odd rows: vectors null or holding null or non-finite components, and null ids, take no part; vectors of
-different lengths do not meet; a query is never its own candidate, nor are rows that share its id;
+Odd rows: vectors null, empty or holding null or non-finite components, and null ids, take no part, nor
+do vectors so long that scores would not fit a long (squared length of the integers from 2**62 on); an
+empty table gives an empty result, other columns are not read; vectors of different lengths do not meet; a query is never its own candidate, nor are rows that share its id;
 repeated rows are one query and one candidate, of an id with several vectors the best score counts;
 fewer candidates than k give fewer ranks; ties go to the smaller id.
 """
@@ -33,6 +34,8 @@ from weftline.llm.common import batch, materialise, prepare
 
 #: Entries of a page, rows of a tree, queries of a block. A page is compared at once, so that it pays to be large.
 PAGE, TREE, QUERIES = 256, 8192, 4096
+#: Vectors whose squared length is below this have scores that fit a long (by Cauchy and Schwarz).
+LARGEST = 2.0**62
 
 
 class MTree:
@@ -41,14 +44,24 @@ class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.repeats = len(np.unique(ids)) < len(ids)
-        norms = (vectors.astype(np.float64) ** 2).sum(1)
-        self.most = float(norms.max())
-        self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(np.maximum(self.most - norms, 0))[:, None]], 1)
+        self.most = float((vectors.astype(np.float64) ** 2).sum(1).max())
+        self._lift()
         self.pages: list[tuple] = []
-        self.whole = self.points[:, :-1]  # the integers, as doubles
         self._random = np.random.default_rng(11)
         self.root = self._build(np.arange(len(ids)), None)
 
+    def __getstate__(self) -> dict:
+        """Without the lifted points, which follow from the vectors."""
+        return {k: x for k, x in self.__dict__.items() if k not in ("points", "_random")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._lift()
+
+    def _lift(self) -> None:
+        norms = (self.vectors.astype(np.float64) ** 2).sum(1)
+        self.points = np.concatenate([self.vectors.astype(np.float64), np.sqrt(np.maximum(self.most - norms, 0))[:, None]], 1)
+
     def _build(self, own: np.ndarray, parent: int | None) -> int:
         """Bulk loading: rows go to the nearest of a page's routing objects, which lie far apart."""
         to_parent = np.zeros(len(own)) if parent is None else self._distance(own, self.points[parent])
@@ -85,7 +98,7 @@ class MTree:
         base = float(point @ point) + self.most
         slack = 1e-6 * (1 + base**0.5)
         exact = self.most * float(point @ point) < 2.0**104  # then no score or part of one is over 2**52
-        vectors, factor = (self.whole, point[:-1]) if exact else (self.vectors, query)
+        vectors, factor = (self.points[:, :-1], point[:-1]) if exact else (self.vectors, query)
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst on top
         held: dict[int, int] = {}  # its scores by id
         limit = np.inf
@@ -150,10 +163,13 @@ def _integers(vectors: DataFrame, scale: int) -> DataFrame:
         for rows in batches:
             out: dict[str, list] = {n: [] for n in schema.names}
             for key, values in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                if key is not None and values and None not in values and np.isfinite(v := np.array(values, np.float64)).all():
+                if key is None or not values or None in values or not np.isfinite(v := scale * np.array(values, np.float64)).all():
+                    continue
+                v = np.floor(v)
+                if np.abs(v).max() < LARGEST and v @ v < LARGEST:
                     out["vec_id"].append(key)
                     out["size"].append(len(v))
-                    out["vector"].append(np.floor(scale * v).astype(np.int64).tobytes())
+                    out["vector"].append(v.astype(np.int64).tobytes())
             yield batch(schema, **out)
 
     return vectors.mapInArrow(run, "vec_id long, size int, vector binary")
