@@ -1,10 +1,13 @@
 """Toxicity, HTML, URLs, search, and the pipeline."""
 
 import random
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import common, html_extract, metric_search, queries, toxicity, url_filter
@@ -152,3 +155,98 @@ def test_near_dup_stage_links_from_similarity_80(spark):
     want = {k for k in range(len(texts)) if k % 2 == 0 or alike[k // 2] < 0.8}
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.stage_near_dup(spark, docs, DATA).collect()} == want
+
+
+def test_ftrl_is_that_of_plain_dictionaries():
+    texts = ["bad word here", "good word there and here", "bad bad thing", "good thing", "a fine day", "bad day word"]
+    labels = [1, 0, 1, 0, 0, 1]
+    rows = []
+    for t in texts:
+        _, index = toxicity.features([t])
+        rows.append(sorted(set(index.tolist())) + [2**toxicity.BITS])
+    z, n = {}, {}
+
+    def weight(k):
+        x, l1 = z.get(k, 0.0), 0.0 if k == 2**toxicity.BITS else toxicity.L1
+        if abs(x) <= l1:
+            return 0.0
+        return -(x - (1 if x > 0 else -1) * l1) / ((toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(len(rows)):
+            own = {i: weight(i) for i in rows[k]}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - labels[k]
+            for i, w in own.items():
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * w
+    at, weights = toxicity.train(texts, labels)
+    want = {k: weight(k) for k in z if weight(k)}
+    assert dict(zip(at.tolist(), weights.tolist(), strict=True)) == {k: pytest.approx(w) for k, w in want.items()}
+
+
+def test_best_run_is_that_of_all_runs():
+    draw = random.Random(9)
+    weights = {"w:p": 1.0, "w:div": -0.7, "t:p": -0.4, "t:div": -1.5, "t:b": -0.1, "w:li": 0.2, "t:li": -0.5}
+    for _ in range(60):
+        page = "".join(draw.choice(["<p>", "</p>", "<div>", "</div>", "<b>x</b>", "<li>"]) + " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randint(0, 5))) for _ in range(draw.randint(1, 25)))
+        found = list(html_extract.tokens(page))
+        worth = [html_extract.score(k, weights) * (len(t.split()) if k[0] == "w" else 1) for k, t, _ in found]
+        best = max((sum(worth[a:b]) for a in range(len(found)) for b in range(a + 1, len(found) + 1)), default=0)
+        text = html_extract.extract(page, weights)
+        runs = {" ".join("".join(t for _, t, _ in found[a:b]).split()) for a in range(len(found)) for b in range(a + 1, len(found) + 1) if abs(sum(worth[a:b]) - best) < 1e-9}
+        assert text in runs if best > 1e-9 else text == ""
+
+
+def test_pages_without_end_tags():
+    weights = html_extract.learn([f"<body><nav><a>Menu</a></nav><article><p>{'words ' * 20}</p></article></body>"] * 3)
+    assert html_extract.extract("<head><title>T</title><meta x><p>Some words of a page with no body tag at all.", weights) == "Some words of a page with no body tag at all."
+    assert html_extract.extract("<p>Some words before it <svg><path> and words after it", weights) == "Some words before it and words after it"
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        text = html_extract.extract("<p>" + "<b>word </i><select>" * n, weights)
+        took.append(time.process_time() - began)
+        assert len(text) == 5 * n - 1
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_templates_predict_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    _, label = url_filter.fitting_rule(queries.RULES)
+    urls = url_filter.split_urls(pages).select("*", label.alias("label"), (F.crc32(F.col("page_id").cast("string")) % 4 == 2).alias("out"))
+    urls = urls.withColumn("blocked", F.when(~F.col("out"), F.col("label")))
+    rows = urls.join(url_filter.purity(urls), ["host", "raw"]).filter("out and label is not null").collect()
+    right = [(r["share"] > url_filter.REJECT) == bool(r["label"]) for r in rows]
+    assert len(right) > 200 and np.mean(right) > 0.95
+
+
+def test_long_paths_and_undecided_branches(spark):
+    deep = "/".join(f"s{k}" for k in range(300))
+    rows = [(k, f"http://h.org/bad/{k % 3}/x") for k in range(40)] + [(50, "http://h.org/bad/none/y"), (51, f"http://h.org/{deep}"), (52, f"http://i.org/{deep}"), (53, "http://h.org")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "h.org/bad/0"), ("block", "h.org/bad/1")]).collect()}
+    assert got[50]["verdict"] == "block" and got[52]["verdict"] == "allow" and got[51]["template"] == f"h.org/{'/'.join(__import__('re').sub('[0-9]+', '*', deep).split('/'))}"
+
+
+def test_search_leaves_out_what_no_score_can_hold(spark):
+    rows = [(0, [1.0, 2.0]), (50, [1e30, 1.0]), (51, [1e6, 0.0]), (52, [-1e12, 0.0]), (53, [3.0, 0.5]), (54, [])]
+    found = metric_search.top_k(spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, score string")).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))] == [(0, 51, 256 * 256 * 10**6), (0, 53, 65536 * 4)]
+
+
+def test_pipeline_without_labels_and_with_clashing_columns(spark, tmp_path):
+    draw = random.Random(6)
+    text = lambda: " ".join(f"w{draw.randrange(900)}" for _ in range(60))
+    one = text()
+    rows = [(1, one), (2, text()), (2, text()), (None, None), (4, ""), (5, one)]
+    docs = spark.createDataFrame([(k, t, "a", 1, [1], "b", "c", 2.0) for k, t in rows], "doc_id long, text string, spans string, wanted int, key array<int>, label string, node string, score double")
+    columns = docs.columns
+    for labels in ([], [(99, 0, 1)], [(1, 0, 1)]):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert corpus_pipeline.stage_toxicity(spark, docs, str(tmp_path)).count() == 6
+    spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            some = common.materialise(stage(spark, some, str(tmp_path)))
+            assert name == "packing" or some.columns == columns

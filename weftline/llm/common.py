@@ -22,9 +22,11 @@ ROWS_PER_BATCH = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; only a local session may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="weftline-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -8,7 +8,10 @@ Learning takes at most sample_rows labelled documents, the ones with the smalles
 the bound is a parameter and keeps the learning task's memory bounded. Scoring covers whole texts of
 all documents. Null and empty texts have no features and get the score of the bias. Rows that share a
 doc_id are scored each; where labels share a doc_id the largest counts; null labels and ids teach
-nothing. Without any labels every score is the prior's. Other columns are not read.
+nothing. Very long texts are features of any number of words. Without labelled documents of both
+classes there is no model: score gives 0.5 to all, keep_clean keeps all. An empty table gives an empty
+result. Columns other than doc_id and text are not read; keep_clean passes them on as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -117,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r for rows in batches for r in zip(*(rows.column(k).to_pylist() for k in (0, 1, 2)), strict=True)), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
-        if found:
+        if len({r[2] > 0 for r in found}) == 2:
             at, weights = train([r[1] or "" for r in found], [int(r[2] > 0) for r in found])
             yield batch(schema, index=at, weight=weights)
 
@@ -145,8 +148,10 @@ def score(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFram
 
 
 def keep_clean(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold. No shuffle."""
+    """The rows of docs, with all their columns, whose score is below the threshold; all, if there is no model. No shuffle."""
     rows = model.collect()  # as in score
+    if not rows:
+        return docs
     sparse = docs.sparkSession.sparkContext.broadcast((np.array([r["index"] for r in rows], np.int64), np.array([r["weight"] for r in rows], np.float32)))
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
