@@ -7,7 +7,8 @@ pattern's count into a longer pattern's. Pieces are then ranked within their len
 says which pattern, which copy of it and which place in it a piece takes.
 
 Null texts are empty ones; each document ends with end_id, so that none is without ids. Repeated
-rows and repeated or null doc ids give their own pieces. Other columns are not read.
+rows and repeated or null doc ids give their own pieces; very long texts give as many as they need, an
+empty table none. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, materialise, slices, prepare
+from weftline.llm.common import batch, materialise, prepare
 from weftline.llm.pieces import WordVocabulary
 
-#: Pieces that are ranked together within a length, about.
-RANKED = 200_000
+#: Pieces that are ranked together within a length, about: a length of more is dealt out by salt.
+RANKED = 1000
 _OPEN: dict[str, WordVocabulary] = {}
 
 
@@ -42,16 +43,15 @@ def cut(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 2, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _OPEN.setdefault(path, None) or _OPEN.__setitem__(path, WordVocabulary(path)) or _OPEN[path]
         for rows in batches:
-            keys, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = defaultdict(list)
-                for key, ids in zip(keys[a:b], words.encode(texts[a:b]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, max_tokens):
-                        own = ids[4 * start : 4 * (start + max_tokens)]
-                        for name, x in zip(schema.names, (key, start, len(own) // 4, zlib.crc32(own), total, own), strict=False):
-                            out[name].append(x)
+            out = defaultdict(list)
+            for key, ids in zip(rows.column(0).to_pylist(), words.encode(rows.column(1)), strict=True):
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, max_tokens):
+                    own = ids[4 * start : 4 * (start + max_tokens)]
+                    for name, x in zip(schema.names, (key, start, len(own) // 4, zlib.crc32(own), total, own), strict=False):
+                        out[name].append(x)
+            if out:
                 yield batch(schema, **out)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
@@ -106,11 +106,13 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 2, wi
     with_ids keeps the pieces' ids: the packed data itself is then the rows of a sequence in the order of offset.
     """
     pieces = materialise(cut(docs, path, max_tokens, end_id, with_ids))
-    ranked = max(1, pieces.count() // RANKED)
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(ranked)).cast("int"))
-    held = pieces.groupBy("length", "salt").count()  # at most max_tokens * ranked rows
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_tokens rows
+    salts = F.lit(1)
+    if many := {length: n // RANKED + 1 for length, n in histogram.items() if n > RANKED}:
+        salts = F.coalesce(F.create_map(*[F.lit(int(x)) for pair in many.items() for x in pair])[F.col("length").cast("int")], salts)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
+    held = pieces.groupBy("length", "salt").count()  # at most max_tokens + pieces / RANKED rows
     before = held.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = docs.sparkSession.sparkContext.broadcast(slots(shortest_pack_first(histogram, max_tokens)))  # a few rows for each length
 
     at = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
