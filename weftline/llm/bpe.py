@@ -7,13 +7,15 @@ window's two edges; while one of them is not stable, the window grows. Halves ar
 recursively and joined so; decoding concatenates up a tree.
 
 Nulls count as empty texts, which have no ids and decode to no bytes; repeated rows give one row each.
-Doc ids may be null or repeat. Other columns are not read.
+Doc ids may be null or repeat. An empty table gives an empty result. Very long texts, and single matches
+of a megabyte, take time in proportion to n log n. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, slices, prepare
+from weftline.llm.common import batch, prepare
 from weftline.llm.pieces import ByteVocabulary
 
 #: Memo tables are dropped at this size; that bounds memory and changes no result.
 MEMO = 400_000
 #: Bytes in a leaf of the tree.
 LEAF = 4
+#: Windows of more bytes are merged with a heap, and not kept.
+LONG = 64
 
 
 class TreeBpe:
@@ -42,6 +46,8 @@ class TreeBpe:
 
     def window(self, data: bytes) -> list[int]:
         """Merges of lowest rank first, for the few bytes around a seam."""
+        if len(data) > LONG:
+            return self._long_window(data)
         if (found := self.windows.get(data)) is not None:
             return found
         parts, ranks = [data[k : k + 1] for k in range(len(data))], self.ranks
@@ -60,6 +66,36 @@ class TreeBpe:
         self.windows[data] = out
         return out
 
+    def _long_window(self, data: bytes) -> list[int]:
+        """The same with a heap of mergeable neighbours, in time n log n."""
+        ranks, tokens = self.ranks, [data[k : k + 1] for k in range(len(data))]
+        after, before = [*range(1, len(data) + 1)], [*range(-1, len(data) - 1)]
+        known: dict[tuple[bytes, bytes], int] = {}
+
+        def rank(a: bytes, b: bytes) -> int:
+            if (found := known.get((a, b))) is None:
+                found = known[a, b] = ranks.get(a + b, -1)
+            return found
+
+        heap = [found << 40 | k for k in range(len(data) - 1) if (found := rank(tokens[k], tokens[k + 1])) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            k = top & 0xFFFFFFFFFF
+            other = after[k]
+            if not tokens[k] or other >= len(data) or rank(tokens[k], tokens[other]) != top >> 40:
+                continue  # one of the two was merged meanwhile
+            tokens[k] += tokens[other]
+            tokens[other] = b""
+            far = after[k] = after[other]
+            if far < len(data):
+                before[far] = k
+                if (found := rank(tokens[k], tokens[far])) >= 0:
+                    heapq.heappush(heap, found << 40 | k)
+            if before[k] >= 0 and (found := rank(tokens[before[k]], tokens[k])) >= 0:
+                heapq.heappush(heap, found << 40 | before[k])
+        return [ranks[t] for t in tokens if t]
+
     def is_stable(self, left: int, right: int) -> bool:
         pair = (left, right)
         if (found := self.stable.get(pair)) is None:
@@ -72,13 +108,14 @@ class TreeBpe:
         """The monoid's product: ids of the two stretches together."""
         if not left or not right or self.is_stable(left[-1], right[0]):
             return left + right
-        reach = 1
+        before = after = 1
         while True:
-            a, b = max(0, len(left) - reach), min(len(right), reach)
+            a, b = max(0, len(left) - before), min(len(right), after)
             middle = self.window(b"".join([self.bytes_of[t] for t in left[a:]]) + b"".join([self.bytes_of[t] for t in right[:b]]))
-            if (a == 0 or self.is_stable(left[a - 1], middle[0])) and (b == len(right) or self.is_stable(middle[-1], right[b])):
+            begins, ends = a == 0 or self.is_stable(left[a - 1], middle[0]), b == len(right) or self.is_stable(middle[-1], right[b])
+            if begins and ends:
                 return left[:a] + middle + right[b:]
-            reach *= 2
+            before, after = before if begins else 3 * before, after if ends else 3 * after
 
     def reduce(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
@@ -122,7 +159,7 @@ def tree_vocabulary(path: str, pattern: str) -> tuple[TreeBpe, ByteVocabulary]:
             out.append(np.array(ids, "<u4").tobytes())
         return out
 
-    return bpe, ByteVocabulary(lambda words: plain([" " + w for w in words]), plain)
+    return bpe, ByteVocabulary(lambda words: [np.array(bpe.encode(w.encode()), "<u4").tobytes() for w in words], plain)
 
 
 _OPEN: dict[tuple[str, str], tuple[TreeBpe, ByteVocabulary]] = {}
@@ -147,19 +184,17 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "do
             _OPEN[key] = tree_vocabulary(path, pattern)
         bpe, words = _OPEN[key]
         for rows in batches:
-            keys, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for a, b in slices(texts):
-                packed = words.encode(texts[a:b])
-                out = {"n_tokens": [len(p) // 4 for p in packed], "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed], "decoded_sha256": []}
+            packed = words.encode(rows.column(1))
+            out = {"n_tokens": [len(p) // 4 for p in packed], "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed], "decoded_sha256": []}
+            if with_ids:
+                out |= {"ids": [], "decoded": []}
+            for p in packed:
+                ids = np.frombuffer(p, "<u4").tolist()
+                decoded = bpe.decode(ids)
+                out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    out |= {"ids": [], "decoded": []}
-                for p in packed:
-                    ids = np.frombuffer(p, "<u4").tolist()
-                    decoded = bpe.decode(ids)
-                    out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        out["ids"].append(ids)
-                        out["decoded"].append(decoded)
-                yield batch(schema, **{id_column: keys[a:b]}, **out)
+                    out["ids"].append(ids)
+                    out["decoded"].append(decoded)
+            yield batch(schema, **{id_column: rows.column(0)}, **out)
 
     return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, ddl)

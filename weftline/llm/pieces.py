@@ -1,23 +1,32 @@
 """Ids of whole texts by way of their words.
 
 Both vocabularies cut a text before they merge: no token reaches over the places at which these
-functions cut it. So the ids of a text are those of its words in order, and as words recur, each is
-encoded once and its ids are kept as packed bytes. A cache holds two generations of bounded size.
+functions cut it. So the ids of a text are those of its parts in order. Arrow finds and numbers the
+different words of a run of texts and the parts of those, each different part is encoded once (and
+kept in a cache of two generations of bounded size), and numpy puts the ids of all occurrences in order.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Letters before this one are alike in every normal form.
-LATIN_END = "\u0250"
 _BEFORE_SPACE = re.compile(r"(?= \S)")
+#: Letters that normalising changes in case at most, and marks of which a run is one match.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r"!-&(-/:-@\[-`{-~"
+#: Letters, perhaps marks, perhaps the end of a line with letters and marks after it: each part is a match of its own.
+_PARTS = rf"^(?P<a>[{_LETTERS}]+)(?P<b>[{_MARKS}]*)(?:\n(?P<c>[{_LETTERS}]+)(?P<d>[{_MARKS}]*))?$"
+#: Bytes of text, and occurrences of words, that are gone through at once.
+TEXT, WORDS = 16_000_000, 1 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -31,61 +40,116 @@ _PACKED = [k.to_bytes(4, "little") for k in range(1 << 16)]
 
 
 def _packed(tokens: list) -> bytes:
-    return b"".join([_PACKED[t.id] for t in tokens])
+    return _PACKED[tokens[0].id] if len(tokens) == 1 else b"".join([_PACKED[t.id] for t in tokens])
 
 
-#: One of these may end a word; it is then a match of its own in either pattern.
-STOPS = ".,;:!?"
+@contextmanager
+def no_collection():
+    """Nothing here makes cycles, but looking for them among millions of words takes a third of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class WordCache:
-    """word -> packed ids, by encode_many for the words not held. The limit bounds memory, not the result.
+    """word -> packed ids, by encode_many for the words not held. The limit bounds memory, not the result."""
 
-    shorter names, for a word, another one and the text that ends it, so that the word's ids are those of both.
-    """
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000, shorter: Callable[[str], tuple[str, str] | None] | None = None, strict: bool = False):
-        self.encode_many, self.limit, self.shorter, self.strict = encode_many, limit, shorter, strict
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode_many, self.limit = encode_many, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
 
-    def fetch(self, words: set[str]) -> dict[str, bytes]:
-        """A mapping that has all these words (if strict, all but empty ones and those that begin with white space)."""
+    def get(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words are different."""
         if len(self.young) + len(words) > self.limit:
             self.old, self.young = self.young, {}
-        missing = self._promoted(words)
-        if missing and self.shorter:
-            if self.strict:
-                missing = {w for w in missing if w and not w[0].isspace()}
-            parts = {w: p for w in missing if (p := self.shorter(w))}
-            direct = missing.difference(parts)
-            direct |= self._promoted({base for base, _ in parts.values()})
-            self._add(direct)
-            young, ends = self.young, self.ends
-            for w, (base, end) in parts.items():
-                young[w] = young[base] + ends[end]
-        elif missing:
-            self._add(missing)
-        return self.young
-
-    def _promoted(self, words: set[str]) -> set[str]:
         young, old = self.young, self.old
-        missing = words.difference(young)
-        if not old:
-            return missing
-        new = set()
-        for w in missing:
-            found = old.get(w)
-            if found is None:
-                new.add(w)
-            else:
-                young[w] = found
-        return new
-
-    def _add(self, words: set[str]) -> None:
-        todo = list(words)
-        self.young.update(zip(todo, self.encode_many(todo), strict=True))
+        out = list(map(young.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        if old and missing:
+            for k in missing:
+                if (found := old.get(words[k])) is not None:
+                    out[k] = young[words[k]] = found
+            missing = [k for k in missing if out[k] is None]
+        if missing:
+            for k, found in zip(missing, self.encode_many([words[k] for k in missing]), strict=True):
+                out[k] = young[words[k]] = found
+        return out
+
+
+class Pool:
+    """Packed ids of numbered things, number 0 being nothing."""
+
+    def __init__(self):
+        self.parts: list[bytes] = [b""]
+
+    def add(self, parts: list[bytes]) -> int:
+        """Number of the first."""
+        self.parts += parts
+        return len(self.parts) - len(parts)
+
+    def sealed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each thing's begin, and how many they are."""
+        sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts)) // 4
+        return np.frombuffer(b"".join(self.parts), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def _in_order(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of numbered things one after the other, and after how many ids each ends (0 first)."""
+    parts, stops = [ids[:0]], np.zeros(len(numbers) + 1, np.int64)
+    for k in range(0, len(numbers), WORDS):
+        own = numbers[k : k + WORDS]
+        n = sizes[own]
+        stop = np.cumsum(n)
+        parts.append(ids[np.arange(stop[-1]) + np.repeat(begins[own] - stop + n, n)])
+        stops[k + 1 : k + 1 + len(own)] = stop + stops[k]
+    return parts[1] if len(parts) == 2 else np.concatenate(parts), stops
+
+
+def _composed(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same three for things that are made of one part from each column."""
+    table = np.stack(columns, 1)
+    ids, stops = _in_order(ids, begins, sizes, table.ravel())
+    ends = stops[:: table.shape[1]]
+    return ids, ends[:-1], np.diff(ends)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """What stands between spaces: number of each word's form, the forms, and where each text's words begin and end."""
+    lists = pc.split_pattern(texts, " ")
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+    forms = lists.flatten().dictionary_encode()
+    return np.asarray(forms.indices).astype(np.int64), forms.dictionary, bounds
+
+
+def _numbered(pool: Pool, cache: WordCache, parts: pa.Array, before: str = "") -> np.ndarray:
+    """Numbers in the pool of the parts, which the cache knows with before in front; nulls and empty parts are nothing."""
+    coded = parts.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    first = pool.add(cache.get([before + w for w in names] if before else names))
+    numbers = np.append(np.where([bool(w) for w in names], first + np.arange(len(names)), 0), 0).astype(np.int64)
+    return numbers[np.asarray(pc.fill_null(coded.indices, len(names)))]
+
+
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch that hold about TEXT bytes each, nulls as empty texts."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    stops = np.cumsum(np.asarray(pc.binary_length(texts)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + TEXT, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _texts(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data = memoryview(np.ascontiguousarray(ids)).cast("B")
+    at = (4 * ends).tolist()
+    return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 class WordVocabulary:
@@ -96,73 +160,90 @@ class WordVocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tokenize = self.tokenizer.model.tokenize
         self.written = _byte_letters()
-        self.cache = WordCache(self._encode, shorter=self._shorter)
-        self.cache.ends |= {c: self._general([c])[0] for c in STOPS}
-
-    @staticmethod
-    def _shorter(word: str) -> tuple[str, str] | None:
-        """In lower case and without one stop at its end; only for letters that normalising leaves alone."""
-        end = word[-1] if word[-1] in STOPS else ""
-        base = word[: len(word) - len(end)].lower()
-        return (base, end) if base and (end or base != word) and base.isalpha() and max(base) < LATIN_END else None
+        self.bases, self.others = WordCache(self._normal, 1_000_000), WordCache(self._general, 50_000)
 
     def _general(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Words that are one match and normal already go to the library's model, others through all its steps."""
-        easy = [w.isalpha() and w.islower() and max(w) < LATIN_END for w in words]
-        rest = iter(self._general([w for w, x in zip(words, easy, strict=True) if not x]))
-        return [_packed(self.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.written))) if x else next(rest) for w, x in zip(words, easy, strict=True)]
+    def _normal(self, words: list[str]) -> list[bytes]:
+        """Words that are one match and normal already go to the library's model."""
+        tokenize = self.tokenizer.model.tokenize
+        return [_packed(tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.written))) if w else b"" for w in words]
+
+    def _forms(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = pc.extract_regex(forms, _PARTS)
+        one, pool = found.is_valid(), Pool()
+        base = _numbered(pool, self.bases, pc.utf8_lower(found.field("a")))
+        mark = _numbered(pool, self.others, found.field("b"))
+        other = _numbered(pool, self.others, pc.if_else(one, pa.scalar("", forms.type), forms))
+        return _composed(*pool.sealed(), [base, mark, other])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text; null is the empty text."""
-        lists = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        held = self.cache.fetch(set().union(*lists) - {""} if lists else set())
-        held[""] = b""
-        return [b"".join([held[w] for w in words]) for words in lists]
+        out: list[bytes] = []
+        with no_collection():
+            for run in _runs(texts):
+                numbers, forms, bounds = _words(pc.replace_substring(run, "\n", " "))
+                ids, stops = _in_order(*self._forms(forms), numbers)
+                out += _texts(ids, stops[bounds])
+        return out
 
 
 class ByteVocabulary:
     """Ids for a byte-level vocabulary whose pattern glues one space to the front of a word.
 
-    A text is cut before each space that a non-space follows; spaced gives the ids of " word" for
-    words without spaces, plain those of any other stretch of text.
+    A text is cut before each space that a non-space follows. whole gives the ids of letters that are
+    one match (of a space and letters, if so written), plain those of any other stretch of text.
     """
 
-    def __init__(self, spaced: Callable[[list[str]], list[bytes]], plain: Callable[[list[str]], list[bytes]]):
-        self.spaced, self.plain = WordCache(spaced, 500_000, self._shorter, strict=True), WordCache(plain, 20_000)
-        self.spaced.ends |= dict(zip(STOPS, plain(list(STOPS)), strict=True))
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], plain: Callable[[list[str]], list[bytes]]):
+        self.whole, self.plain = WordCache(whole, 1_000_000), WordCache(plain, 50_000)
 
-    @staticmethod
-    def _shorter(word: str) -> tuple[str, str] | None:
-        return (word[:-1], word[-1]) if word[-1] in STOPS and word[:-1].isalpha() else None
+    def _forms(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of " word" for words that don't begin with white space; an empty word is nothing."""
+        found = pc.extract_regex(forms, _PARTS)
+        one, pool = pc.or_(found.is_valid(), pc.equal(forms, "")), Pool()
+        line = pool.add(self.plain.get(["\n"]))
+        base, mark = _numbered(pool, self.whole, found.field("a"), " "), _numbered(pool, self.plain, found.field("b"))
+        later, last = _numbered(pool, self.whole, found.field("c")), _numbered(pool, self.plain, found.field("d"))
+        other = _numbered(pool, self.plain, pc.if_else(one, pa.scalar("", forms.type), pc.binary_join_element_wise(pa.scalar("", forms.type), forms, pa.scalar(" ", forms.type))))
+        return _composed(*pool.sealed(), [base, mark, np.where(later > 0, line, 0), later, last, other])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text; null is the empty text."""
-        lists = [t.split(" ") if t else [""] for t in texts]
-        heads = [words.pop(0) for words in lists]
-        held = self.spaced.fetch(set().union(*lists) if lists else set())
-        odd = self.plain.fetch(set(heads))
         out: list[bytes] = []
-        for t, head, words in zip(texts, heads, lists, strict=True):
-            try:
-                out.append(odd[head] + b"".join([held[w] for w in words]))
-            except KeyError:  # a space before white space, or at the end
-                out.append(self._loose(t))
+        with no_collection():
+            for run in _runs(texts):
+                numbers, forms, bounds = _words(run)
+                heads = bounds[:-1]
+                loose = np.asarray(pc.match_substring_regex(forms, r"^(\s|$)|^[^\x00-\x7F]").cast(pa.uint8())) == 1
+                if loose.any():  # a space before white space, or at the end
+                    named = [w == "" or w[0].isspace() for w in forms.filter(pa.array(loose)).to_pylist()]
+                    loose[np.flatnonzero(loose)[~np.array(named)]] = False
+                behind = np.ones(len(numbers), bool)
+                behind[heads] = False
+                odd = loose[numbers] & behind
+                spaced = np.zeros(len(forms), bool)
+                spaced[numbers[behind]] = True
+                ids, begins, sizes = self._forms(pc.if_else(pa.array(spaced & ~loose), forms, pa.scalar("", forms.type)))
+                first = forms.take(pa.array(numbers[heads])).dictionary_encode()
+                pool = Pool()
+                pool.parts = self.plain.get(first.dictionary.to_pylist())
+                more, at, n = pool.sealed()
+                numbers[heads] = len(sizes) + np.asarray(first.indices)
+                ids, stops = _in_order(np.concatenate([ids, more]), np.concatenate([begins, at + len(ids)]), np.concatenate([sizes, n]), numbers)
+                new = _texts(ids, stops[bounds])
+                for k in np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1).tolist():
+                    new[k] = self._loose(run[k].as_py())
+                out += new
         return out
 
     def _loose(self, text: str) -> bytes:
         parts = _BEFORE_SPACE.split(text)
-        held = self.spaced.fetch({p[1:] for p in parts if self._is_tight(p)})
-        odd = self.plain.fetch({p for p in parts if not self._is_tight(p)})
-        return b"".join([held[p[1:]] if self._is_tight(p) else odd[p] for p in parts])
-
-    @staticmethod
-    def _is_tight(part: str) -> bool:
-        return len(part) > 1 and part[0] == " " and not part[1].isspace() and " " not in part[1:]
+        names = [*dict.fromkeys(parts)]
+        ids = dict(zip(names, self.plain.get(names), strict=True))
+        return b"".join([ids[p] for p in parts])
 
 
 def byte_vocabulary(path: str) -> ByteVocabulary:
@@ -171,15 +252,14 @@ def byte_vocabulary(path: str) -> ByteVocabulary:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    tokenize, written = tokenizer.model.tokenize, _byte_letters()
+    written = _byte_letters()
 
     def plain(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(words: list[str]) -> list[bytes]:
-        """A space and letters are one match, which the library's model takes as it is written; others go through all its steps."""
-        easy = [w.isalpha() for w in words]
-        rest = iter(plain([" " + w for w, x in zip(words, easy, strict=True) if not x]))
-        return [_packed(tokenize("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(written)))) if x else next(rest) for w, x in zip(words, easy, strict=True)]
+    def whole(words: list[str]) -> list[bytes]:
+        """A match goes to the library's model as the vocabulary writes bytes."""
+        tokenize = tokenizer.model.tokenize
+        return [_packed(tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(written))) if w else b"" for w in words]
 
-    return ByteVocabulary(spaced, plain)
+    return ByteVocabulary(whole, plain)

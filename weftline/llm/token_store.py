@@ -19,21 +19,22 @@ fingerprint tells keys that the shard doesn't have. Every look-up takes constant
 
 Documents go to shards by ranges of the key. A null text is empty; each document ends with end_id.
 Rows that share a key stand together (in the order of their texts), the index leads to the first; null
-keys come first and have no slot. Empty tables give no shard. Other columns are not read.
+keys come first and have no slot. Very long texts are one document's ids, however many; empty tables
+give no shard. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import batch, materialise, partitions, scratch_dir, slices, prepare
+from weftline.llm.common import batch, materialise, partitions, prepare, scratch_dir
 from weftline.llm.pieces import ByteVocabulary, byte_vocabulary
 
 MAGIC = b"WFTSHRD1"
@@ -141,15 +142,60 @@ class Shard:
         return self.payload[int(self.offsets[document]) : int(self.offsets[document + 1])]
 
 
+class ShardFile:
+    """A shard in a random-access file: each look-up reads the header, one slot and one document's range."""
+
+    def __init__(self, file):
+        self.file = file
+        if self._read(0, 8) != MAGIC:
+            raise ValueError("not a shard of token ids")
+        self.documents, self.keys, _, self.width, levels, _, self.words = (int(x) for x in np.frombuffer(self._read(8, 56), "<u8"))
+        self.levels = np.frombuffer(self._read(64, 8 * levels), "<u8")
+        self.bits = 64 + 8 * levels
+        self.ranks = self.bits + 8 * self.words
+        self.prints = self.ranks + 4 * self.words
+        self.records = self.prints + 4 * self.keys
+        self.names = self.records + 4 * self.keys
+        self.offsets = self.names + 9 * self.documents
+        self.payload = self.offsets + 8 * (self.documents + 1)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def _number(self, at: int, kind: str) -> int:
+        return int(np.frombuffer(self._read(at, np.dtype(kind).itemsize), kind)[0])
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document with that key; none if the shard hasn't got it."""
+        one, start = np.array([key], np.int64), 0
+        for level, size in enumerate(self.levels.tolist()):
+            at = start + int(_mixed(one, level)[0] % np.uint64(size))
+            held = self._number(self.bits + 8 * (at // 64), "<u8")
+            if held >> (at % 64) & 1:
+                slot = self._number(self.ranks + 4 * (at // 64), "<u4") + (held & ((1 << (at % 64)) - 1)).bit_count()
+                return self._documents(key, slot) if self._number(self.prints + 4 * slot, "<u4") == int(fingerprints(one)[0]) else []
+            start += size
+        return []
+
+    def _documents(self, key: int, slot: int) -> list[np.ndarray]:
+        k, out = self._number(self.records + 4 * slot, "<u4"), []
+        while k < self.documents and self._number(self.names + 8 * k, "<i8") == key:
+            a, b = np.frombuffer(self._read(self.offsets + 8 * k, 16), "<u8").tolist()
+            out.append(np.frombuffer(self._read(self.payload + self.width * a, self.width * (b - a)), f"<u{self.width}"))
+            k += 1
+        return out
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_mb: float = 24) -> DataFrame:
-    """Writes the shards and returns their manifest: shard, file, documents, ids, ascending by key.
+    """Writes the shards and returns their manifest: shard, file, documents, ids, low and high key, ascending by key.
 
     A file has a name of its own until it is whole, so that a task that is run again or twice leaves
     only whole files; the manifest names those that count.
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +205,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_mb: fl
         keys: list[int | None] = []
         ids: list[bytes] = []
         for rows in batches:
-            texts = rows.column(1).to_pylist()
             keys += rows.column(0).to_pylist()
-            for a, b in slices(texts):
-                ids += [x + end for x in words.encode(texts[a:b])]
+            ids += [x + end for x in words.encode(rows.column(1))]
         if keys:
             file = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.ids"
             system, at = _file_system(file)
@@ -171,12 +215,12 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_mb: fl
             with system.open_output_stream(at + ".part") as f:
                 f.write(shard_bytes(keys, ids, wide))
             system.move(at + ".part", at)
-            yield batch(schema, shard=[TaskContext.get().partitionId()], file=[file], documents=[len(keys)], ids=[sum(map(len, ids)) // 4])
+            yield batch(schema, shard=[TaskContext.get().partitionId()], file=[file], documents=[len(keys)], ids=[sum(map(len, ids)) // 4], low=[next((k for k in keys if k is not None), None)], high=[keys[-1]])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = partitions(spark, rows, shard_mb)
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.mapInArrow(run, "shard long, file string, documents long, ids long"))
+    return materialise(ordered.mapInArrow(run, "shard long, file string, documents long, ids long, low long, high long"))
 
 
 def _file_system(uri: str):
@@ -227,6 +271,32 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.repartition(n, "file").mapInArrow(run, ddl)
 
 
+def lookup(manifest: DataFrame, keys: Sequence[int]) -> DataFrame:
+    """doc_id and ids of the documents with these keys, a row for each; only headers, slots and their ranges are read.
+
+    keys are few (they travel with the plan); those that no shard has give no row.
+    """
+    spark = manifest.sparkSession
+    prepare(spark)
+    wanted = spark.createDataFrame([(int(k),) for k in sorted(set(keys))], "doc_id long")
+    placed = manifest.select("file", "low", "high").join(F.broadcast(wanted), F.col("doc_id").between(F.col("low"), F.col("high"))).select("file", "doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            by_file: dict[str, list[int]] = {}
+            for file, key in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                by_file.setdefault(file, []).append(key)
+            for file, own in by_file.items():
+                system, at = _file_system(file)
+                with system.open_input_file(at) as f:
+                    shard = ShardFile(f)
+                    found = [(key, ids.tolist()) for key in own for ids in shard.get(key)]
+                yield batch(schema, doc_id=[key for key, _ in found], ids=[ids for _, ids in found])
+
+    return placed.repartition("file").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def round_trip(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0, shard_mb: float = 24) -> DataFrame:
     """Writes the shards and reads every document back from them. The folder is one in the shared scratch folder if not given."""
     return read(write(docs, path, folder or scratch_dir(docs.sparkSession), end_id, shard_mb))
