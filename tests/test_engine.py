@@ -109,7 +109,7 @@ def test_empty_graph(spark):
 
 
 def test_suggestions_are_within_limits(spark):
-    rows = spark.sql(site.render("suggestions", Spark(), "/root/testdata/sf0.01")).collect()
+    rows = site.view(spark, "/root/testdata/sf0.01", "suggestions").collect()
     pairs = [(r["source_id"], r["target_id"]) for r in rows]
     assert len(pairs) == len(set(pairs)) and all(0 <= r["confidence"] <= 1 and r["source_id"] != r["target_id"] for r in rows)
     assert max((sum(s == x for s, _ in pairs) for x, _ in pairs), default=0) <= EngineConfig().max_suggestions

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import ship
+from weftline.session import scratch_dir, ship
 
 #: Graphs up to this many edges are ranked by one task, which takes less time than a job for each iteration.
 SMALL = 5_000_000
@@ -18,8 +17,8 @@ SMALL = 5_000_000
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-graph-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -79,25 +78,25 @@ def scaled(ranks: DataFrame) -> DataFrame:
     return ranks.join(F.broadcast(top)).select("node", F.round(F.col("rank") * 100 / F.col("top"), 4).alias("score"))  # top is one row
 
 
-def click_depth(nodes: DataFrame, edges: DataFrame, seed: int, most: int = 1000) -> DataFrame:
+def click_depth(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     """(node, depth): clicks from the seed, -1 where no path leads; edges are followed whatever nodes they name."""
     links = edges.select("source", "target").distinct()
     found = nodes.sparkSession.createDataFrame([(seed, 0)], "node long, depth int")
-    front = found
-    for depth in range(1, most + 1):
+    front, depth = found, 0
+    while True:
+        depth += 1
         front = links.join(front.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti")
         front = _checkpoint(front.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        found = found.union(front)
+        found = _checkpoint(found.union(front)) if depth % 20 == 0 else found.union(front)
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from weftline.plans import site
-    from weftline.plans.dialect import Spark
 
-    return tuple(spark.sql(site.render(name, Spark(), sf_dir)) for name in ("graph_nodes", "graph_edges"))
+    return tuple(site.view(spark, sf_dir, name) for name in ("graph_nodes", "graph_edges"))
 
 
 def pagerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +122,7 @@ def _sql(nodes: str, edges: str) -> dict[str, str]:
             f", r{k + 1} AS MATERIALIZED (SELECT nodes.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g.got, 0) + lost / n) AS r FROM nodes LEFT JOIN (SELECT target, sum(r / o) AS got FROM inner_edges JOIN outs USING (source)"
             f" JOIN r{k} ON r{k}.node = inner_edges.source GROUP BY target) g ON g.target = nodes.node, size, (SELECT coalesce(sum(r), 0) AS lost FROM r{k} WHERE node NOT IN (SELECT source FROM outs)) l)"
         )
-    bfs = head + ", steps AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.target, depth + 1 FROM steps JOIN edges e ON e.source = steps.node WHERE depth < 40), depths AS (SELECT nodes.node AS post_id, coalesce(d, -1) AS depth FROM nodes LEFT JOIN (SELECT node, min(depth) AS d FROM steps GROUP BY node) s ON s.node = nodes.node)"
+    bfs = head + ", steps AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.target, depth + 1 FROM steps JOIN edges e ON e.source = steps.node WHERE depth < (SELECT count(*) FROM nodes) AND depth < 100), depths AS (SELECT nodes.node AS post_id, coalesce(d, -1) AS depth FROM nodes LEFT JOIN (SELECT node, min(depth) AS d FROM steps GROUP BY node) s ON s.node = nodes.node)"
     return {
         "pagerank_top": rank + " SELECT node AS post_id, round(r * 100 / (SELECT max(r) FROM r30), 4) AS score FROM r30 ORDER BY score DESC, post_id LIMIT 25",
         "click_depth": bfs + " SELECT post_id, depth FROM depths",

@@ -36,12 +36,13 @@ class KeyedTable:
         out.close()
 
     def upsert(self, rows: DataFrame, newest: str | None = None) -> None:
-        """Rows replace those of their key; of several new ones the one with the largest newest stays."""
+        """Rows replace those of their key; of several new ones the one with the largest newest stays (the largest row, without one)."""
         if newest:
             order = Window.partitionBy(*self.keys).orderBy(F.desc(newest))
             rows = rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
         else:
-            rows = rows.dropDuplicates(self.keys)
+            rest = [c for c in rows.columns if c not in self.keys]
+            rows = rows.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*self.keys, "_row.*") if rest else rows.distinct()
         old = self.read()
         self.overwrite(rows if old is None else old.join(rows, self.keys, "left_anti").unionByName(rows, allowMissingColumns=True))
 

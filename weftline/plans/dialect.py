@@ -63,9 +63,30 @@ class Spark:
     def has(self, x: str, y: str) -> str:
         return f"contains({x}, {y})"
 
+    def filter(self, x: str, item: str, test: str) -> str:
+        return f"filter({x}, {item} -> {test})"
+
+    def transform(self, x: str, item: str, to: str) -> str:
+        return f"transform({x}, {item} -> {to})"
+
+    def anti(self) -> str:
+        return "LEFT ANTI JOIN"
+
+    def greatest_of(self, x: str) -> str:
+        return f"array_max({x})"
+
     def groups(self, x: str, p: str, group: int) -> str:
         return f"regexp_extract_all({x}, {self.pattern(p)}, {group})"
 
+    def decimals(self, x: str, n: int) -> str:
+        return f"format_string('%.{n}f', CAST({x} AS DOUBLE))"
+
+    def rtrim(self, x: str, chars: str) -> str:
+        return f"rtrim('{chars}', {x})"
+
+    def try_double(self, x: str) -> str:
+        return f"try_cast({x} AS DOUBLE)"
+
     def plain(self, x: str, a: str, b: str) -> str:
         return f"replace({x}, '{a}', '{b}')"
 
@@ -123,3 +144,21 @@ class Duck(Spark):
 
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
+
+    def filter(self, x: str, item: str, test: str) -> str:
+        return f"list_filter({x}, lambda {item}: {test})"
+
+    def transform(self, x: str, item: str, to: str) -> str:
+        return f"list_transform({x}, lambda {item}: {to})"
+
+    def anti(self) -> str:
+        return "ANTI JOIN"
+
+    def greatest_of(self, x: str) -> str:
+        return f"list_max({x})"
+
+    def decimals(self, x: str, n: int) -> str:
+        return f"printf('%.{n}f', CAST({x} AS DOUBLE))"
+
+    def rtrim(self, x: str, chars: str) -> str:
+        return f"rtrim({x}, '{chars}')"

@@ -8,15 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions import text
 from weftline.plans import site
-from weftline.plans.dialect import Spark
 from weftline.streaming import incremental
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    site.PLANS.setdefault(f"_{name}", ((name,), lambda d: f"SELECT * FROM {name}"))
-    sql = site.render(f"_{name}", Spark(), sf_dir)
-    del site.PLANS[f"_{name}"]
-    return spark.sql(sql)
+_view = site.view
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.config import CLICK_RATES, DEFAULT_PRICE, EDGE_STOPWORDS, GENERIC_ANCHORS, NOISE_WORDS, PRICES, SECRET_SHAPES, STOPWORDS, EngineConfig
+from weftline.operators import graph, index
 from weftline.plans.dialect import Duck, Spark
 
 C = EngineConfig()
@@ -57,6 +58,33 @@ def anchor_type(a: str, d: Spark) -> str:
     return f"(CASE WHEN {x} = '' THEN 'generic' WHEN {d.like(x, '^https?://')} OR {d.has(x, repr('www.'))} THEN 'naked' WHEN {x} IN ({words_in(GENERIC_ANCHORS)}) THEN 'generic' ELSE 'partial' END)"
 
 
+def cut_bytes(x: str, n: int, d: Spark) -> str:
+    """The longest beginning of whole characters that n bytes hold."""
+    fits = d.filter(d.numbers("1", str(n)), "k", f"{d.octets(f'left({x}, CAST(k AS INT))')} <= {n}")
+    return f"(CASE WHEN {d.octets(x)} <= {n} THEN {x} ELSE left({x}, CAST({d.greatest_of(fits)} AS INT)) END)"
+
+
+def spelled(x: str, d: Spark) -> str:
+    """Lower-case text in which a phrase, so spelled, stands between spaces only where it stands as whole words, as written."""
+    return f"concat(' ', {d.replace(f'lower({x})', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd} ]+', ' ¦ ')}, ' ')"
+
+
+def keyword_relevance(d: Spark) -> str:
+    """Of a keyword with is_striking and opportunity, among which top is the highest."""
+    share = "CASE WHEN top > 0 THEN CAST(0.28 AS DOUBLE) * least(CAST(1 AS DOUBLE), opportunity / top) ELSE 0 END"
+    return f"round(least(CAST(0.98 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN is_striking THEN CAST(0.2 AS DOUBLE) ELSE 0 END + {share}), 4)"
+
+
+def format_tokens(n: str, d: Spark) -> str:
+    """Counts as 999, 12.5k or 1.00M; none is negative."""
+    return f"(CASE WHEN {n} < 1000 THEN CAST(greatest(0, {n}) AS {d.text}) WHEN {n} < 1000000 THEN concat({d.decimals(f'{n} / CAST(1000 AS DOUBLE)', 1)}, 'k') ELSE concat({d.decimals(f'{n} / CAST(1000000 AS DOUBLE)', 2)}, 'M') END)"
+
+
+def format_cost(x: str, d: Spark) -> str:
+    """Dollars with two places, or four under a dollar; none are negative."""
+    return f"concat('$', CASE WHEN {x} > 0 AND {x} < 1 THEN {d.decimals(x, 4)} ELSE {d.decimals(f'greatest(CAST(0 AS DOUBLE), {x})', 2)} END)"
+
+
 SCOPE = "NOT is_excluded AND NOT is_woo_system AND post_status = 'publish'"
 
 #: Views: what each stands on, and its query.
@@ -102,27 +130,30 @@ VIEWS: dict[str, View] = {
     ),
     "tokens": (
         ("v_index",),
-        lambda d: f"""SELECT post_id, {d.trim_both('raw', chr(39) + '-')} AS term FROM (SELECT post_id, {d.explode}({d.all_matches('lower(parsed_text)', chr(92) + 'p{L}[' + chr(92) + 'p{L}' + chr(92) + "p{Nd}'-]{2,}")}) AS raw FROM v_index) t""",
+        lambda d: f"""SELECT post_id, lang_code, in_scope, {d.trim_both('raw', chr(39) + '-')} AS term FROM (SELECT post_id, lang_code, ({SCOPE}) AS in_scope, {d.explode}({d.all_matches('lower(parsed_text)', chr(92) + 'p{L}[' + chr(92) + 'p{L}' + chr(92) + "p{Nd}'-]{2,}")}) AS raw FROM v_index) t""",
     ),
-    "frequencies": (("tokens",), lambda d: f"SELECT post_id, left(term, 80) AS term, count(*) AS tf FROM tokens WHERE {d.octets('term')} >= 3 AND term NOT IN ({words_in(STOPWORDS)}) GROUP BY post_id, left(term, 80)"),
-    "postings": (("frequencies",), lambda d: f"SELECT post_id, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM frequencies) t WHERE rn <= {C.stored_terms}"),
+    "frequencies": (
+        ("tokens",),
+        lambda d: f"SELECT post_id, lang_code, in_scope, term, count(*) AS tf FROM (SELECT post_id, lang_code, in_scope, {cut_bytes('term', 80, d)} AS term FROM tokens WHERE {d.octets('term')} >= 3 AND term NOT IN ({words_in(STOPWORDS)})) t GROUP BY post_id, lang_code, in_scope, term",
+    ),
+    "postings": (("frequencies",), lambda d: f"SELECT post_id, lang_code, in_scope, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM frequencies) t WHERE rn <= {C.stored_terms}"),
     "corpus": (("postings",), lambda d: "SELECT count(DISTINCT post_id) AS n FROM postings"),
     "document_frequency": (("postings",), lambda d: "SELECT term, count(*) AS df FROM postings GROUP BY term"),
     "site_wide": (("document_frequency", "corpus"), lambda d: f"SELECT term, df FROM document_frequency, corpus WHERE df > floor(CAST({C.df_ceiling} AS DOUBLE) * n)"),
     "weights": (("document_frequency", "corpus"), lambda d: f"SELECT term, ln(1 + CAST(n AS DOUBLE) / df) AS idf FROM document_frequency, corpus WHERE df <= CAST({C.df_ceiling} AS DOUBLE) * n"),
     "source_terms": (
         ("postings", "weights"),
-        lambda d: f"SELECT s.post_id, s.term, s.tf, w.idf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM postings) s JOIN weights w ON w.term = s.term WHERE rn <= {C.source_terms}",
+        lambda d: f"SELECT s.post_id, s.lang_code, s.term, s.tf, w.idf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM postings) s JOIN weights w ON w.term = s.term WHERE rn <= {C.source_terms}",
     ),
     "norms": (("source_terms",), lambda d: "SELECT post_id, sum(idf * tf) AS norm FROM source_terms GROUP BY post_id"),
     "shared_terms": (
         ("source_terms", "postings"),
-        lambda d: f"SELECT s.post_id AS source_id, p.post_id AS target_id, count(*) AS shared, sum(s.idf * least(s.tf, p.tf)) AS overlap FROM source_terms s JOIN postings p ON p.term = s.term AND p.post_id <> s.post_id GROUP BY s.post_id, p.post_id HAVING count(*) >= {C.min_shared}",
+        lambda d: f"SELECT s.post_id AS source_id, p.post_id AS target_id, count(*) AS shared, sum(s.idf * least(s.tf, p.tf)) AS overlap FROM source_terms s JOIN (SELECT * FROM postings WHERE in_scope) p ON p.term = s.term AND p.lang_code = s.lang_code AND p.post_id <> s.post_id GROUP BY s.post_id, p.post_id HAVING count(*) >= {C.min_shared}",
     ),
     "related": (
-        ("shared_terms", "norms", "v_index"),
-        lambda d: f"""SELECT o.source_id, o.target_id, o.shared, round(least(CAST(1 AS DOUBLE), o.overlap / n.norm), 4) AS score FROM shared_terms o JOIN norms n ON n.post_id = o.source_id
-            JOIN (SELECT post_id, lang_code FROM v_index) a ON a.post_id = o.source_id JOIN (SELECT post_id, lang_code FROM v_index WHERE {SCOPE}) b ON b.post_id = o.target_id AND b.lang_code = a.lang_code""",
+        ("shared_terms", "norms"),
+        lambda d: f"""SELECT source_id, target_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM
+            (SELECT o.source_id, o.target_id, o.shared, round(least(CAST(1 AS DOUBLE), o.overlap / n.norm), 4) AS score FROM shared_terms o JOIN norms n ON n.post_id = o.source_id) s) t WHERE rank <= {max(50, 4 * C.max_suggestions + 10)}""",
     ),
     "scope": (("v_index",), lambda d: f"SELECT post_id, post_type, lang_code, {d.size(d.all_matches('parsed_text', chr(92) + 'p{L}+'))} AS word_count FROM v_index WHERE {SCOPE}"),
     "outgoing": (("v_link_graph",), lambda d: "SELECT source_post_id AS post_id, count(*) AS links FROM v_link_graph WHERE location = 'content' AND target_post_id > 0 GROUP BY source_post_id"),
@@ -165,36 +196,72 @@ def html_text(x: str, d: Spark) -> str:
     return spaced(d, x)
 
 
-VIEWS["mentions"] = (
+VIEWS["bodies"] = (("v_index",), lambda d: f"SELECT post_id, lang_code, {spelled('parsed_text', d)} AS body FROM v_index WHERE {SCOPE}")
+VIEWS["needles"] = (
     ("pool", "v_index"),
-    lambda d: f"""SELECT source_id, target_id, anchor, is_striking, opportunity, rank FROM (SELECT i.post_id AS source_id, k.post_id AS target_id, k.keyword AS anchor, k.is_striking, k.opportunity, k.rank, row_number() OVER (PARTITION BY i.post_id, k.post_id ORDER BY k.rank) AS rn
-        FROM (SELECT post_id, lang_code, concat(' ', {d.replace('lower(parsed_text)', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS body FROM v_index WHERE {SCOPE}) i
-        JOIN (SELECT p.*, v.lang_code, concat(' ', {d.replace('p.keyword_norm', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS needle FROM pool p JOIN v_index v ON v.post_id = p.post_id) k
-        ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND {d.has('i.body', 'k.needle')} WHERE length(trim(k.needle)) >= 4) t WHERE rn = 1""",
+    lambda d: f"""SELECT * FROM (SELECT p.id, p.keyword, p.post_id, p.is_striking, p.opportunity, p.rank, v.lang_code, {spelled('p.keyword_norm', d)} AS needle, {d.item(d.all_matches('p.keyword_norm', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+'), '1')} AS word
+        FROM pool p JOIN (SELECT post_id, lang_code FROM v_index) v ON v.post_id = p.post_id WHERE {d.octets('p.keyword_norm')} >= 4 AND {d.size(d.all_matches('p.keyword_norm', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+'))} >= 1) k""",
+)
+#: Pages that hold a keyword's first word are looked through for all of it; the other engine looks through all pages.
+VIEWS["held"] = (
+    ("bodies", "needles"),
+    lambda d: """SELECT i.post_id AS source_id, k.* FROM bodies i JOIN needles k ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND contains(i.body, k.needle)"""
+    if isinstance(d, Duck)
+    else """SELECT w.source_id, w.id, w.keyword, w.post_id, w.is_striking, w.opportunity, w.rank, w.lang_code, w.needle, w.word FROM
+        (SELECT b.post_id AS source_id, k.* FROM (SELECT post_id, lang_code, explode(array_distinct(split(trim(body), ' '))) AS word FROM bodies) b JOIN needles k ON k.word = b.word AND k.lang_code = b.lang_code AND k.post_id <> b.post_id) w
+        JOIN bodies i ON i.post_id = w.source_id AND contains(i.body, w.needle)""",
+)
+VIEWS["saturated"] = (
+    ("v_link_graph", "v_suggestions"),
+    lambda d: """SELECT target_post_id, anchor, count(*) AS uses FROM (SELECT target_post_id, lower(anchor_text) AS anchor FROM v_link_graph WHERE location = 'content'
+        UNION ALL SELECT target_post_id, lower(anchor_text) AS anchor FROM v_suggestions WHERE status IN ('pending', 'approved')) t GROUP BY target_post_id, anchor HAVING count(*) >= 3""",
+)
+VIEWS["mentions"] = (
+    ("held", "saturated", "linked"),
+    lambda d: f"""SELECT source_id, target_id, anchor, is_striking, opportunity, rank FROM (SELECT h.source_id, h.post_id AS target_id, h.keyword AS anchor, h.is_striking, h.opportunity, h.rank, row_number() OVER (PARTITION BY h.source_id, h.post_id ORDER BY h.rank) AS rn
+        FROM held h {d.anti()} saturated s ON s.target_post_id = h.post_id AND s.anchor = lower(h.keyword) WHERE {d.size(d.all_matches('h.keyword', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+'))} BETWEEN {C.min_anchor_words} AND {C.max_anchor_words}) t WHERE rn = 1""",
+)
+#: Targets that a page links to, or that were suggested for it.
+VIEWS["linked"] = (
+    ("v_link_graph", "v_suggestions"),
+    lambda d: """SELECT DISTINCT source_id, target_id FROM (SELECT source_post_id AS source_id, target_post_id AS target_id FROM v_link_graph WHERE target_post_id > 0
+        UNION ALL SELECT source_post_id, target_post_id FROM v_suggestions WHERE status IN ('pending', 'approved', 'applied', 'rejected')) t""",
 )
-VIEWS["linked"] = (("v_link_graph",), lambda d: "SELECT DISTINCT source_post_id AS source_id, target_post_id AS target_id FROM v_link_graph")
 VIEWS["capacity"] = (
     ("density",),
-    lambda d: f"SELECT post_id, least({C.max_suggestions}, greatest(0, CAST(greatest(2, ceil(word_count / CAST(1000 AS DOUBLE) * {C.max_links_per_1000})) AS BIGINT) - links)) AS room FROM density",
+    lambda d: f"SELECT post_id, least({C.max_suggestions}, greatest(0, CAST(greatest(2, ceil(greatest(1, word_count) / CAST(1000 AS DOUBLE) * {C.max_links_per_1000})) AS BIGINT) - links)) AS room FROM density",
 )
 VIEWS["keyword_pass"] = (
-    ("mentions", "linked", "capacity"),
-    lambda d: """SELECT source_id, target_id, anchor, relevance, room, place FROM (SELECT m.*, c.room, round(least(CAST(0.98 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN m.is_striking THEN 0.2 ELSE 0 END), 4) AS relevance, row_number() OVER (PARTITION BY m.source_id ORDER BY m.rank, m.target_id) AS place
-        FROM mentions m JOIN capacity c ON c.post_id = m.source_id LEFT JOIN linked l ON l.source_id = m.source_id AND l.target_id = m.target_id WHERE l.source_id IS NULL) t WHERE place <= room""",
+    ("mentions", "linked", "capacity", "pool"),
+    lambda d: f"""SELECT source_id, target_id, anchor, relevance, room, place FROM (SELECT m.*, c.room, {keyword_relevance(d)} AS relevance, row_number() OVER (PARTITION BY m.source_id ORDER BY m.rank, m.target_id) AS place
+        FROM mentions m JOIN capacity c ON c.post_id = m.source_id {d.anti()} linked l ON l.source_id = m.source_id AND l.target_id = m.target_id, (SELECT max(opportunity) AS top FROM pool) p) t WHERE place <= room""",
+)
+#: Anchors for a page: two to four words of its title, longest first; none over a punctuation mark, with a number or structural word, or a stop word at its edge.
+VIEWS["phrases"] = (
+    ("v_index",),
+    lambda d: f"""SELECT post_id, phrase, size, row_number() OVER (PARTITION BY post_id ORDER BY size DESC, {d.octets('phrase')} DESC, phrase) AS place FROM (SELECT DISTINCT post_id, size, phrase FROM
+        (SELECT post_id, w, n AS size, {d.slice('w', 'pos', 'pos + n - 1')} AS own, {d.join_words(d.slice('w', 'pos', 'pos + n - 1'))} AS phrase FROM
+        (SELECT post_id, w, n, {d.explode}({d.numbers('1', f'CAST({d.size(chr(119))} AS INT) - n + 1')}) AS pos FROM (SELECT post_id, w, {d.explode}({d.numbers(str(max(2, C.min_anchor_words)), f'least({C.max_anchor_words}, CAST({d.size(chr(119))} AS INT))')}) AS n FROM
+        (SELECT post_id, {d.all_matches('part', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+')} AS w FROM (SELECT post_id, {d.explode}({d.split('title', '[:;,|()' + chr(92) + '[' + chr(92) + ']/–—-]+')}) AS part FROM v_index) x) a) b) c) e
+        WHERE {d.octets('phrase')} >= 6 AND lower({d.item('own', '1')}) NOT IN ({words_in(EDGE_STOPWORDS)}) AND lower({d.item('own', 'size')}) NOT IN ({words_in(EDGE_STOPWORDS)})
+        AND {d.size(d.filter('own', 'x', f"lower(x) IN ({words_in(NOISE_WORDS)}) OR {d.like('x', '^' + chr(92) + 'p{Nd}+$')}"))} = 0) f""",
+)
+#: The first phrase of a target's title that stands in a source's text, as whole words, for each pair that may be proposed.
+VIEWS["placed"] = (
+    ("related", "bodies", "phrases"),
+    lambda d: f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, p.phrase, row_number() OVER (PARTITION BY r.source_id, r.target_id ORDER BY p.place) AS rn
+        FROM related r JOIN phrases p ON p.post_id = r.target_id AND p.place <= 60 JOIN bodies s ON s.post_id = r.source_id WHERE r.score >= {C.min_relevance} AND contains(s.body, concat(' ', lower(p.phrase), ' '))) t WHERE rn = 1""",
 )
 VIEWS["text_pass"] = (
-    ("related", "linked", "capacity", "keyword_pass", "v_index"),
-    lambda d: f"""SELECT source_id, target_id, anchor, relevance, place FROM (SELECT r.source_id, r.target_id, t.title AS anchor, r.score AS relevance, c.room - coalesce(k.taken, 0) AS room, row_number() OVER (PARTITION BY r.source_id ORDER BY r.score DESC, r.target_id) AS place
-        FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM related) r JOIN capacity c ON c.post_id = r.source_id
-        JOIN (SELECT post_id, {d.match('title', '^[^ ]+ [^ ]+')} AS title FROM v_index) t ON t.post_id = r.target_id JOIN v_index s ON s.post_id = r.source_id
-        LEFT JOIN linked l ON l.source_id = r.source_id AND l.target_id = r.target_id LEFT JOIN keyword_pass p ON p.source_id = r.source_id AND p.target_id = r.target_id
-        LEFT JOIN (SELECT source_id, count(*) AS taken FROM keyword_pass GROUP BY source_id) k ON k.source_id = r.source_id
-        WHERE r.rank <= 4 * c.room + 10 AND r.score >= {C.min_relevance} AND l.source_id IS NULL AND p.source_id IS NULL AND {d.octets('t.title')} >= 6 AND {d.has('lower(s.parsed_text)', 'lower(t.title)')}) u WHERE place <= room""",
+    ("placed", "linked", "capacity", "keyword_pass"),
+    lambda d: f"""SELECT source_id, target_id, anchor, relevance, place FROM (SELECT r.source_id, r.target_id, r.phrase AS anchor, r.score AS relevance, c.room - coalesce(k.taken, 0) AS room, row_number() OVER (PARTITION BY r.source_id ORDER BY r.score DESC, r.target_id) AS place
+        FROM placed r JOIN capacity c ON c.post_id = r.source_id {d.anti()} linked l ON l.source_id = r.source_id AND l.target_id = r.target_id {d.anti()} keyword_pass p ON p.source_id = r.source_id AND p.target_id = r.target_id
+        LEFT JOIN (SELECT source_id, count(*) AS taken FROM keyword_pass GROUP BY source_id) k ON k.source_id = r.source_id WHERE r.rank <= 4 * c.room + 10) u WHERE place <= room""",
 )
 
 #: Queries: what each stands on, and its result.
 PLANS: dict[str, View] = {
-    "related_pages": (("related",), lambda d: "SELECT source_id, target_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM related) t WHERE rank <= 30"),
+    "related_pages": (("related",), lambda d: "SELECT source_id, target_id, shared, score, rank FROM related WHERE rank <= 30"),
     "term_frequencies": (("postings",), lambda d: "SELECT post_id, term, tf FROM postings"),
     "document_frequency": (("document_frequency",), lambda d: "SELECT term, df FROM document_frequency"),
     "corpus_size": (("corpus",), lambda d: "SELECT n FROM corpus"),
@@ -206,8 +273,8 @@ PLANS: dict[str, View] = {
             (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM postings) t LEFT JOIN site_wide s ON s.term = t.term WHERE t.rn <= 50 AND s.term IS NULL) u WHERE k <= 10""",
     ),
     "eligible_pages": (("scope",), lambda d: "SELECT post_type, lang_code, count(*) AS pages, sum(word_count) AS words FROM scope GROUP BY post_type, lang_code"),
-    "orphans": (("scope", "v_link_graph"), lambda d: "SELECT s.post_id FROM scope s LEFT ANTI JOIN v_link_graph g ON g.target_post_id = s.post_id AND g.location = 'content'" if not isinstance(d, Duck) else "SELECT s.post_id FROM scope s ANTI JOIN v_link_graph g ON g.target_post_id = s.post_id AND g.location = 'content'"),
-    "dead_ends": (("scope", "outgoing"), lambda d: f"SELECT s.post_id FROM scope s {'ANTI' if isinstance(d, Duck) else 'LEFT ANTI'} JOIN outgoing o ON o.post_id = s.post_id"),
+    "orphans": (("scope", "v_link_graph"), lambda d: f"SELECT s.post_id FROM scope s {d.anti()} v_link_graph g ON g.target_post_id = s.post_id AND g.location = 'content'"),
+    "dead_ends": (("scope", "outgoing"), lambda d: f"SELECT s.post_id FROM scope s {d.anti()} outgoing o ON o.post_id = s.post_id"),
     "over_linked": (("density",), lambda d: "SELECT post_id, word_count, links, ceiling FROM density WHERE links > ceiling ORDER BY links DESC, post_id LIMIT 50"),
     "under_linked": (("density",), lambda d: "SELECT post_id, word_count FROM density WHERE links = 0 AND word_count >= 300"),
     "broken_links": (
@@ -223,10 +290,12 @@ PLANS: dict[str, View] = {
             FROM v_link_graph WHERE target_post_id > 0 GROUP BY target_post_id) t WHERE total >= 3 AND exacts / CAST(total AS DOUBLE) > 0.40 ORDER BY ratio DESC, target_post_id LIMIT 50""",
     ),
     "audit_summary": (
-        ("scope", "density", "v_link_graph", "v_index"),
-        lambda d: f"""SELECT (SELECT count(*) FROM scope) AS eligible, (SELECT count(*) FROM v_link_graph) AS links, (SELECT count(*) FROM scope s WHERE s.post_id NOT IN (SELECT target_post_id FROM v_link_graph)) AS orphans,
-            (SELECT count(*) FROM density WHERE links = 0) AS dead_ends, (SELECT count(*) FROM density WHERE links > ceiling) AS over_linked, (SELECT count(*) FROM density WHERE links = 0 AND word_count >= 300) AS under_linked,
-            (SELECT count(*) FROM v_link_graph g LEFT JOIN (SELECT post_id FROM v_index WHERE post_status = 'publish') i ON i.post_id = g.target_post_id WHERE i.post_id IS NULL) AS broken""",
+        ("scope", "density", "v_link_graph", "v_index", "v_suggestions", "click_depths"),
+        lambda d: f"""SELECT * FROM (SELECT count(*) AS indexed, sum(CASE WHEN links = 0 THEN 1 ELSE 0 END) AS dead_ends, sum(CASE WHEN links > ceiling THEN 1 ELSE 0 END) AS over_linked, sum(CASE WHEN links = 0 AND word_count >= 300 THEN 1 ELSE 0 END) AS under_linked FROM density) a,
+            (SELECT count(*) AS orphans FROM scope s {d.anti()} v_link_graph g ON g.target_post_id = s.post_id AND g.location = 'content') b, (SELECT count(*) AS applied_links FROM v_suggestions WHERE status = 'applied') c,
+            (SELECT count(*) AS broken FROM v_link_graph g {d.anti()} (SELECT post_id FROM v_index WHERE post_status = 'publish') i ON i.post_id = g.target_post_id) e,
+            (SELECT count(*) AS over_optimized FROM (SELECT target_post_id FROM v_link_graph WHERE target_post_id > 0 AND location = 'content' GROUP BY target_post_id HAVING count(*) >= 3 AND sum(CASE WHEN anchor_type = 'exact' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) > 0.40) o) f,
+            (SELECT max(depth) AS deepest, sum(CASE WHEN depth < 0 THEN 1 ELSE 0 END) AS unreached, sum(CASE WHEN depth >= 4 THEN 1 ELSE 0 END) AS deep FROM click_depths) g""",
     ),
     "keyword_scores": (("scored",), lambda d: "SELECT id, keyword_norm, position, expected_ctr, is_striking, opportunity FROM scored"),
     "keyword_upsert": (
@@ -239,7 +308,7 @@ PLANS: dict[str, View] = {
     "striking_keywords": (("scored",), lambda d: "SELECT id, keyword, position, opportunity FROM scored WHERE is_striking ORDER BY opportunity DESC, id LIMIT 50"),
     "keyword_relevance": (
         ("pool",),
-        lambda d: "SELECT id, round(least(CAST(0.98 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN is_striking THEN 0.2 ELSE 0 END + CASE WHEN top > 0 THEN CAST(0.28 AS DOUBLE) * least(CAST(1 AS DOUBLE), opportunity / top) ELSE 0 END), 4) AS relevance FROM pool, (SELECT max(opportunity) AS top FROM pool) m",
+        lambda d: f"SELECT id, {keyword_relevance(d)} AS relevance FROM pool, (SELECT max(opportunity) AS top FROM pool) m",
     ),
     "usage_totals": (("spend",), lambda d: _month("")),
     "usage_month": (("spend",), lambda d: f"SELECT {d.day('created_at')} AS month, count(*) AS requests, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out FROM spend WHERE operation <> 'error' GROUP BY {d.day('created_at')}"),
@@ -275,25 +344,11 @@ PLANS: dict[str, View] = {
     "table_diff": (("v_index", "v_link_graph"), lambda d: "SELECT target_post_id AS id FROM v_link_graph WHERE target_post_id > 0 EXCEPT SELECT post_id FROM v_index"),
     "log_signatures": (("events",), lambda d: f"SELECT signature, count(*) AS n FROM (SELECT {d.replace('concat(event_type, ' + chr(39) + ' of user ' + chr(39) + f', CAST(user_id AS {d.text}))', '[0-9]+', 'N')} AS signature FROM events) t GROUP BY signature ORDER BY n DESC, signature LIMIT 15"),
     "token_estimates": (("v_index",), lambda d: f"SELECT post_id, CAST(floor(420 + (least(1000, {d.size(d.all_matches('parsed_text', '[^ ]+'))}) + 15 * (8 + 10)) * CAST(1.35 AS DOUBLE) + 0.5) AS BIGINT) AS tokens_in, 260 AS tokens_out FROM v_index"),
-    "title_phrases": (
-        ("v_index",),
-        lambda d: f"""SELECT DISTINCT post_id, phrase FROM (SELECT post_id, w, {d.join_words(d.slice('w', 'pos', 'pos + n - 1'))} AS phrase, lower({d.item('w', 'pos')}) AS head, lower({d.item('w', 'pos + n - 1')}) AS tail FROM
-            (SELECT post_id, w, n, {d.explode}({d.numbers('1', f'CAST({d.size(chr(119))} AS INT) - n + 1')}) AS pos FROM (SELECT post_id, w, {d.explode}({d.numbers('2', f'least(4, CAST({d.size(chr(119))} AS INT))')}) AS n FROM
-            (SELECT post_id, {d.all_matches('title', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+')} AS w FROM v_index) a) b) c) e
-            WHERE {d.octets('phrase')} >= 6 AND head NOT IN ({words_in(EDGE_STOPWORDS)}) AND tail NOT IN ({words_in(EDGE_STOPWORDS)}) AND NOT {d.like('lower(phrase)', '(^| )(' + '|'.join(NOISE_WORDS) + '|' + chr(92) + 'p{Nd}+)( |$)')}""",
-    ),
-    "keyword_mentions": (
-        ("pool", "v_index"),
-        lambda d: f"""SELECT i.post_id, k.id, k.post_id AS target_id FROM (SELECT post_id, lang_code, concat(' ', {d.replace('lower(parsed_text)', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS body FROM v_index WHERE {SCOPE}) i
-            JOIN (SELECT p.*, v.lang_code, concat(' ', {d.replace('p.keyword_norm', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+', ' ')}, ' ') AS needle FROM pool p JOIN v_index v ON v.post_id = p.post_id) k
-            ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND {d.has('i.body', 'k.needle')} WHERE length(trim(k.needle)) >= 4""",
-    ),
-    "anchor_saturation": (("v_suggestions",), lambda d: "SELECT target_post_id, lower(anchor_text) AS anchor, count(*) AS n FROM v_suggestions WHERE status IN ('pending', 'approved', 'applied') GROUP BY target_post_id, lower(anchor_text) HAVING count(*) >= 3"),
+    "title_phrases": (("phrases",), lambda d: "SELECT post_id, place, phrase, size FROM phrases WHERE place <= 60"),
+    "keyword_mentions": (("held",), lambda d: "SELECT source_id AS post_id, id, post_id AS target_id FROM held"),
+    "anchor_saturation": (("saturated",), lambda d: "SELECT target_post_id, anchor, uses FROM saturated"),
     "status_cards": (("v_suggestions",), lambda d: "SELECT sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS approved, sum(CASE WHEN status = 'applied' THEN 1 ELSE 0 END) AS applied, sum(CASE WHEN status = 'rejected' THEN 1 ELSE 0 END) AS rejected FROM v_suggestions"),
-    "anchor_matches": (
-        ("v_link_graph", "v_index"),
-        lambda d: f"SELECT DISTINCT g.source_post_id, g.target_post_id, t.title FROM v_link_graph g JOIN v_index s ON s.post_id = g.source_post_id JOIN v_index t ON t.post_id = g.target_post_id WHERE g.source_post_id <> g.target_post_id AND {d.octets('t.title')} >= 4 AND {d.has('lower(s.parsed_text)', 'lower(t.title)')}",
-    ),
+    "anchor_matches": (("placed",), lambda d: "SELECT source_id, target_id, phrase AS anchor FROM placed"),
 }
 
 PLANS |= {
@@ -347,7 +402,7 @@ PLANS |= {
     "reason_histogram": (("calls",), lambda d: "SELECT outcome, count(*) AS n FROM calls WHERE outcome <> 'ok' GROUP BY outcome ORDER BY n DESC, outcome"),
     "usage_formatted": (
         ("spend",),
-        lambda d: f"SELECT key_id, CASE WHEN n < 1000 THEN CAST(n AS {d.text}) WHEN n < 1000000 THEN concat(CAST({d.intdiv('n', '1000')} AS {d.text}), 'k') ELSE concat(CAST({d.intdiv('n', '1000000')} AS {d.text}), 'M') END AS tokens FROM (SELECT key_id, sum(tokens_in + tokens_out) AS n FROM spend GROUP BY key_id) t",
+        lambda d: f"SELECT key_id, {format_tokens('n', d)} AS tokens, {format_cost('dollars', d)} AS cost FROM (SELECT key_id, sum(tokens_in + tokens_out) AS n, round(sum(cents) / 100, 6) AS dollars FROM spend GROUP BY key_id) t",
     ),
     "scan_progress": (("v_index",), lambda d: "SELECT post_type, count(*) AS total, CAST(least(100, floor(100.0 * sum(CASE WHEN post_id % 4 > 0 THEN 1 ELSE 0 END) / count(*) + 0.5)) AS BIGINT) AS percent FROM v_index GROUP BY post_type"),
     "content_systems": (
@@ -363,31 +418,75 @@ def _scrubbed(x: str, d: Spark) -> str:
     return x
 
 
-def render(name: str, d: Spark, folder: str = "") -> str:
-    """A plan's SQL, with the scans (Spark) and views that it stands on, each once."""
-    needs, body = PLANS[name]
+#: Views that Spark writes once for all queries that stand on them.
+SHARED = ("v_index", "postings", "document_frequency", "related", "bodies", "scope", "held", "click_depths")
+
+
+def _tables(name: str) -> list[str]:
+    """The tables under a view."""
+    return [name] if name in TABLES else sorted({t for x in VIEWS[name][0] for t in _tables(x)}) if name in VIEWS else []
+
+
+def render(name: str, d: Spark, folder: str = "", read: Callable[[str], str | None] = lambda name: None, whole: bool = False) -> str:
+    """SQL of a plan (or, if whole, of a view) with the scans and views that it stands on, each once.
+
+    read gives the query that reads a view that is stored, or None.
+    """
+    needs, body = ((name,), lambda d: f"SELECT * FROM {name}") if whole else PLANS[name]
     steps: dict[str, str] = {}
 
-    def need(one: str) -> None:
+    def need(one: str, top: bool) -> None:
         if one in steps:
             return
         if one in TABLES:
             if scan := d.scan(folder, one):
                 steps[one] = scan
-            return
-        below, query = VIEWS[one]
-        for x in below:
-            need(x)
-        steps[one] = f"{one} AS ({query(d)})"
+        elif not top and (found := read(one)):
+            steps[one] = f"{one} AS ({found})"
+        else:
+            below, query = VIEWS[one]
+            for x in below:
+                need(x, False)
+            steps[one] = f"{one} AS ({query(d)})"
 
     for x in needs:
-        need(x)
-    return (f"WITH {', '.join(steps.values())} " if steps else "") + body(d)
+        need(x, whole)
+    recursive = "RECURSIVE " if any("UNION SELECT" in s for s in steps.values()) and isinstance(d, Duck) else ""
+    return (f"WITH {recursive}{', '.join(steps.values())} " if steps else "") + body(d)
+
+
+def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], str | None]:
+    def read(name: str) -> str | None:
+        if name not in SHARED:
+            return None
+        make = (lambda: MADE[name](spark, sf_dir)) if name in MADE else (lambda: spark.sql(render(name, Spark(), sf_dir, read, whole=True)))
+        return f"SELECT * FROM parquet.`{index.stored(spark, name, [f'{sf_dir}/{t}.parquet' for t in _tables(name)], make)}`"
+
+    return read
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A plan's or a view's rows."""
+    read = _reader(spark, sf_dir)
+    return spark.sql(render(name, Spark(), sf_dir, read) if name in PLANS else read(name) or render(name, Spark(), sf_dir, read, whole=True))
+
+
+def _click_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.click_depth(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges"), seed=1)
+
+
+#: Views that Spark makes by operators; their text is the other engine's.
+MADE = {"click_depths": _click_depths}
+VIEWS["click_depths"] = (
+    ("scope", "v_link_graph"),
+    lambda d: """SELECT s.post_id AS node, coalesce(x.depth, -1) AS depth FROM scope s LEFT JOIN (SELECT node, min(depth) AS depth FROM (WITH RECURSIVE steps AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.target_post_id, depth + 1
+        FROM steps JOIN v_link_graph e ON e.source_post_id = steps.node AND e.location = 'content' AND e.target_post_id > 0 WHERE depth < 100) SELECT * FROM steps) y GROUP BY node) x ON x.node = s.post_id""",
+)
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(render(name, Spark(), sf_dir))
+        return view(spark, sf_dir, name)
 
     run.__name__ = name
     return run

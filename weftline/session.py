@@ -5,12 +5,30 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+#: Folder used where a local session names none; removed at exit.
+_OWN: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; only a local session may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="weftline-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = f"file://{_OWN[0]}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors as a zip, once per application."""
     context = spark.sparkContext
