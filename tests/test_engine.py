@@ -5,7 +5,7 @@ import pytest
 
 from weftline.config import EngineConfig
 from weftline.functions import text
-from weftline.operators import graph
+from weftline.operators import graph, overlap
 from weftline.operators.store import KeyedTable
 from weftline.plans import more, site
 from weftline.plans.dialect import Spark
@@ -154,3 +154,34 @@ def test_streamed_usage_is_the_table_s(spark, tmp_path):
     columns = ["window", "provider", "model", "requests", "tokens_in", "tokens_out"]
     got, want = (sorted(map(tuple, df.select(*columns).collect()), key=repr) for df in (spark.table("usage_out"), incremental.usage(log)))
     assert got == want and got
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_click_depth_by_either_way(spark, small):
+    edges = [(k, k + 1) for k in range(1, 30)] + [(1, 5), (5, 99), (40, 41), (7, 7)]
+    nodes = spark.createDataFrame([(k,) for k in (1, 4, 5, 8, 30, 40, 41, 77)], "node long")
+    got = {r["node"]: r["depth"] for r in graph.click_depth(nodes, spark.createDataFrame(edges, "source long, target long"), 1, small=small).collect()}
+    assert got == {1: 0, 4: 3, 5: 1, 8: 4, 30: 26, 40: -1, 41: -1, 77: -1}
+
+
+def test_overlaps_of_small_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(31)
+    rows = sorted({(int(p), "ab"[p % 2], f"t{t}", int(draw.integers(1, 4))) for p in range(30) for t in draw.integers(0, 12, 8)})
+    tf = {(p, t): n for p, _, t, n in rows}
+    idf = {f"t{k}": 1 + k / 8 for k in range(12)}
+    sources = spark.createDataFrame([(p, a, t, tf[p, t], idf[t]) for p, t in tf for a in "ab"[p % 2]], "post_id long, lang_code string, term string, tf int, idf double")
+    weights = spark.createDataFrame([(t, k + 1) for k, t in enumerate(idf)], "term string, number long")
+    want = {}
+    for a in range(30):
+        own = {t: n for (p, t), n in tf.items() if p == a}
+        found = []
+        for b in range(a % 2, 30, 2):
+            both = [t for t in own if (b, t) in tf]
+            if a != b and len(both) >= 2:
+                found.append((-np.floor(min(1, sum(idf[t] * min(own[t], tf[b, t]) for t in both) / sum(idf[t] * n for t, n in own.items())) * 1e4 + 0.5) / 1e4, b, len(both)))
+        want |= {(a, b): (n, -s, k) for k, (s, b, n) in enumerate(sorted(found)[:5], 1)}
+    for block in (1000, 4):
+        monkeypatch.setattr(overlap, "SOURCES", block)
+        monkeypatch.setattr(overlap, "TARGETS", block)
+        got = overlap.best_overlaps(sources, sources.drop("idf"), weights, 5).collect()
+        assert {(r["source_id"], r["target_id"]): (r["shared"], pytest.approx(r["score"], abs=1.1e-4), r["rank"]) for r in got} == want

@@ -18,6 +18,15 @@ EDGE_STOPWORDS = (
 ).split()
 # Words that make a phrase structural.
 NOISE_WORDS = ("part", "parts", "vol", "volume", "chapter", "edition", "section", "no")
+# Single words of titles that say nothing of a page.
+GENERIC_WORDS = ("guide", "review", "tips", "best", "introduction", "overview", "about", "guidelines")
+#: What reasons for a link that could not be set mean to a reader.
+REASONS = (
+    ("suggest_only", "made with a page builder, set it by hand"), ("unsupported_system", "content of this kind is not written to"), ("modified_since", "changed since the scan"),
+    ("bad_status", "applied already, or just being"), ("anchor_not_found", "the words are gone from the page"), ("empty_anchor", "without anchor"), ("not_found", "the proposal is gone"),
+    ("source_missing", "the page is gone"), ("no_target", "the target has no address"), ("integrity_check_failed", "visible text would have changed"), ("blocks_unavailable", "blocks can not be read"),
+    ("ledger_failed", "no record for undoing could be made"), ("update_failed", "the page could not be stored"),
+)
 # Anchors that say nothing of their target.
 GENERIC_ANCHORS = ("click here", "read more", "here", "this", "learn more", "more", "link", "this page", "continue reading")
 # Abbreviations whose full stop ends no sentence.

@@ -78,9 +78,31 @@ def scaled(ranks: DataFrame) -> DataFrame:
     return ranks.join(F.broadcast(top)).select("node", F.round(F.col("rank") * 100 / F.col("top"), 4).alias("score"))  # top is one row
 
 
-def click_depth(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+def _small_depth(links: DataFrame, seed: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"source": [], "target": []})])
+        own, at = np.unique(np.append(rows.to_numpy(np.int64).ravel(), seed), return_inverse=True)
+        source, target = at[:-1].reshape(-1, 2).T
+        depth = np.full(len(own), -1, np.int32)
+        front = np.array([at[-1]])
+        depth[front], step = 0, 0
+        while len(front):
+            step += 1
+            reached = target[np.isin(source, front)]
+            front = np.unique(reached[depth[reached] < 0])
+            depth[front] = step
+        yield pd.DataFrame({"node": own[depth >= 0], "depth": depth[depth >= 0]})
+
+    ship(links.sparkSession)
+    return links.repartition(1).mapInPandas(run, "node long, depth int")
+
+
+def click_depth(nodes: DataFrame, edges: DataFrame, seed: int, small: int = SMALL) -> DataFrame:
     """(node, depth): clicks from the seed, -1 where no path leads; edges are followed whatever nodes they name."""
-    links = edges.select("source", "target").distinct()
+    links = edges.select(F.col("source").cast("long"), F.col("target").cast("long")).distinct()
+    if links.limit(small + 1).count() <= small and nodes.limit(small + 1).count() <= small:
+        return nodes.select("node").join(_small_depth(links, seed), "node", "left").select("node", F.coalesce("depth", F.lit(-1)).alias("depth"))
+    links = _checkpoint(links)
     found = nodes.sparkSession.createDataFrame([(seed, 0)], "node long, depth int")
     front, depth = found, 0
     while True:

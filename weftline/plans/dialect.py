@@ -5,6 +5,12 @@ from __future__ import annotations
 
 class Spark:
     text, explode, real = "STRING", "explode", "DOUBLE"
+    #: Tasks for steps that read little and compute much, which would be put together by their size.
+    tasks = 64
+
+    def __init__(self, session=None):
+        if session is not None:
+            self.tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
 
     def scan(self, folder: str, table: str) -> str:
         return f"{table} AS (SELECT * FROM parquet.`{folder}/{table}.parquet`)"
@@ -84,6 +90,9 @@ class Spark:
     def rtrim(self, x: str, chars: str) -> str:
         return f"rtrim('{chars}', {x})"
 
+    def join_list(self, x: str, order: str, by: str = ",") -> str:
+        return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {x} AS v))), y -> y.v), '{by}')"
+
     def try_double(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
@@ -162,3 +171,9 @@ class Duck(Spark):
 
     def rtrim(self, x: str, chars: str) -> str:
         return f"rtrim({x}, '{chars}')"
+
+    def join_list(self, x: str, order: str, by: str = ",") -> str:
+        return f"string_agg({x}, '{by}' ORDER BY {order})"
+
+    def try_double(self, x: str) -> str:
+        return f"try_cast({x} AS DOUBLE)"

@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.config import CLICK_RATES, DEFAULT_PRICE, EDGE_STOPWORDS, GENERIC_ANCHORS, NOISE_WORDS, PRICES, SECRET_SHAPES, STOPWORDS, EngineConfig
-from weftline.operators import graph, index
+from weftline.operators import graph, index, overlap
+from weftline.plans import rules
 from weftline.plans.dialect import Duck, Spark
 
 C = EngineConfig()
+#: Related pages that are kept for each page: as many as any query takes.
+RELATED = max(50, 4 * C.max_suggestions + 10)
 TABLES = ("documents", "lineitem", "part", "supplier", "events", "benchmark", "pages")
 View = tuple[tuple[str, ...], Callable[[Spark], str]]
 
@@ -153,7 +157,7 @@ VIEWS: dict[str, View] = {
     "related": (
         ("shared_terms", "norms"),
         lambda d: f"""SELECT source_id, target_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM
-            (SELECT o.source_id, o.target_id, o.shared, round(least(CAST(1 AS DOUBLE), o.overlap / n.norm), 4) AS score FROM shared_terms o JOIN norms n ON n.post_id = o.source_id) s) t WHERE rank <= {max(50, 4 * C.max_suggestions + 10)}""",
+            (SELECT o.source_id, o.target_id, o.shared, round(least(CAST(1 AS DOUBLE), o.overlap / n.norm), 4) AS score FROM shared_terms o JOIN norms n ON n.post_id = o.source_id) s) t WHERE rank <= {RELATED}""",
     ),
     "scope": (("v_index",), lambda d: f"SELECT post_id, post_type, lang_code, {d.size(d.all_matches('parsed_text', chr(92) + 'p{L}+'))} AS word_count FROM v_index WHERE {SCOPE}"),
     "outgoing": (("v_link_graph",), lambda d: "SELECT source_post_id AS post_id, count(*) AS links FROM v_link_graph WHERE location = 'content' AND target_post_id > 0 GROUP BY source_post_id"),
@@ -249,7 +253,11 @@ VIEWS["phrases"] = (
 #: The first phrase of a target's title that stands in a source's text, as whole words, for each pair that may be proposed.
 VIEWS["placed"] = (
     ("related", "bodies", "phrases"),
-    lambda d: f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, p.phrase, row_number() OVER (PARTITION BY r.source_id, r.target_id ORDER BY p.place) AS rn
+    lambda d: f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, try_element_at(filter(r.list, x -> contains(s.body, concat(' ', lower(x), ' '))), 1) AS phrase FROM
+        (SELECT /*+ REPARTITION({d.tasks}, source_id) */ r.source_id, r.target_id, r.score, r.rank, p.list FROM related r JOIN (SELECT post_id, transform(array_sort(collect_list(struct(place, phrase))), y -> y.phrase) AS list FROM phrases WHERE place <= 60 GROUP BY post_id) p
+        ON p.post_id = r.target_id WHERE r.score >= {C.min_relevance}) r JOIN bodies s ON s.post_id = r.source_id) t WHERE phrase IS NOT NULL"""
+    if not isinstance(d, Duck)
+    else f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, p.phrase, row_number() OVER (PARTITION BY r.source_id, r.target_id ORDER BY p.place) AS rn
         FROM related r JOIN phrases p ON p.post_id = r.target_id AND p.place <= 60 JOIN bodies s ON s.post_id = r.source_id WHERE r.score >= {C.min_relevance} AND contains(s.body, concat(' ', lower(p.phrase), ' '))) t WHERE rn = 1""",
 )
 VIEWS["text_pass"] = (
@@ -418,6 +426,9 @@ def _scrubbed(x: str, d: Spark) -> str:
     return x
 
 
+VIEWS |= rules.VIEWS
+PLANS |= rules.PLANS
+
 #: Views that Spark writes once for all queries that stand on them.
 SHARED = ("v_index", "postings", "document_frequency", "related", "bodies", "scope", "held", "click_depths")
 
@@ -459,7 +470,7 @@ def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], str | None]:
     def read(name: str) -> str | None:
         if name not in SHARED:
             return None
-        make = (lambda: MADE[name](spark, sf_dir)) if name in MADE else (lambda: spark.sql(render(name, Spark(), sf_dir, read, whole=True)))
+        make = (lambda: MADE[name](spark, sf_dir)) if name in MADE else (lambda: spark.sql(render(name, Spark(spark), sf_dir, read, whole=True)))
         return f"SELECT * FROM parquet.`{index.stored(spark, name, [f'{sf_dir}/{t}.parquet' for t in _tables(name)], make)}`"
 
     return read
@@ -467,16 +478,21 @@ def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], str | None]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A plan's or a view's rows."""
-    read = _reader(spark, sf_dir)
-    return spark.sql(render(name, Spark(), sf_dir, read) if name in PLANS else read(name) or render(name, Spark(), sf_dir, read, whole=True))
+    read, d = _reader(spark, sf_dir), Spark(spark)
+    return spark.sql(render(name, d, sf_dir, read) if name in PLANS else read(name) or render(name, d, sf_dir, read, whole=True))
 
 
 def _click_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.click_depth(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges"), seed=1)
 
 
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = view(spark, sf_dir, "document_frequency").filter("df > 1").select("term", F.xxhash64("term").alias("number"))
+    return overlap.best_overlaps(view(spark, sf_dir, "source_terms"), view(spark, sf_dir, "postings").filter("in_scope"), numbers, RELATED, C.min_shared)
+
+
 #: Views that Spark makes by operators; their text is the other engine's.
-MADE = {"click_depths": _click_depths}
+MADE = {"click_depths": _click_depths, "related": _related}
 VIEWS["click_depths"] = (
     ("scope", "v_link_graph"),
     lambda d: """SELECT s.post_id AS node, coalesce(x.depth, -1) AS depth FROM scope s LEFT JOIN (SELECT node, min(depth) AS depth FROM (WITH RECURSIVE steps AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.target_post_id, depth + 1
