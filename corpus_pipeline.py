@@ -3,6 +3,12 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and read again as the next one's docs. The first three return the columns of
 documents (n_chars is kept true to the text); the last returns the packed pieces.
+
+Odd rows, in every stage: a null text is judged as an empty one and stays null until it is packed (as the
+end id alone); rows without a doc_id are judged by their text and are no one's duplicate; rows that repeat
+with one doc_id are one document and stay or go together, rows of one doc_id with different texts are each
+judged; very long texts are gone through whole; an empty table stays empty; without labels of both classes
+nothing is toxic. Columns other than doc_id, text and n_chars pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
