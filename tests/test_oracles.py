@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from weftline.operators import graph
-from weftline.plans import site
+from weftline.plans import more, site
 
 DATA = os.environ.get("SITE_DATA", "/root/testdata/sf0.001")
 
@@ -33,7 +33,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[k]) for k in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(site.PLANS | graph.queries()))
+@pytest.mark.parametrize("name", sorted(site.PLANS | graph.queries() | more.oracle_sql()))
 def test_plan(spark, duck, name):
     ours = entry.queries()[name](spark, DATA)
     theirs = duck.execute(entry.oracle_sql()[name])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions import text
 from weftline.plans import site
+from weftline.plans.dialect import Duck
 from weftline.streaming import incremental
 
 
@@ -31,7 +32,15 @@ def insert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = incremental.usage(_view(spark, sf_dir, "v_spend_log"))
-    return found.selectExpr("window.start AS day", "provider", "model", "requests", "tokens_in", "tokens_out")
+    return found.selectExpr("date_format(window.start, 'yyyy-MM-dd') AS day", "provider", "model", "requests", "tokens_in", "tokens_out")
+
+
+def oracle_sql() -> dict[str, str]:
+    """Written for DuckDB apart from the query."""
+    log = site.render("v_spend_log", Duck(), whole=True)
+    return {
+        "usage_windows": f"SELECT strftime(created_at, '%Y-%m-%d') AS day, provider, model, count(*) AS requests, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out FROM ({log}) l WHERE operation <> 'error' GROUP BY ALL"
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
