@@ -48,6 +48,8 @@ def corpus():
 @pytest.mark.parametrize("block", [1000, 4])
 def test_near_duplicates(spark, docs, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "ROOM", block * 60)
+    monkeypatch.setattr(near_dup, "CELLS", block // 4 + 1)
     texts = corpus()
     lower = {c: c + 32 for c in range(65, 91)}
     sets = []
@@ -67,6 +69,14 @@ def test_near_duplicates_odd_rows(spark, docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
 
 
+def test_pairs_are_compared_with_each_text_of_a_node(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (1, [1, 2, 3, 4]), (1, [-9, -8]), (2, [1, 2, 3, 4]), (3, [-9, -8]), (4, []), (5, [1, 2, 3]), (6, [])], "node long, items array<long>")
+    ordered = sets.selectExpr("node", "concat(filter(items, x -> x >= 0), filter(items, x -> x < 0)) AS items")  # unsigned order
+    pairs = spark.createDataFrame([(1, b) for b in (2, 3, 4, 5)] + [(4, 6)], "a long, b long")
+    assert {tuple(r) for r in near_dup._starred(pairs, ordered, 85).collect()} == {(1, 2), (1, 3)}
+    assert {tuple(r) for r in near_dup._starred(pairs, ordered, 75).collect()} == {(1, 2), (1, 3), (1, 5)}
+
+
 def test_estimate_rules_out_only_the_hopeless():
     draw = np.random.default_rng(6)
     for similarity, expected in ((0.95, True), (0.85, True), (0.3, False)):

@@ -36,8 +36,10 @@ BANDS, ROWS = 26, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A pair is ruled out if its registers are e**DOUBT times likelier under a lower similarity than under the threshold.
 DOUBT = 18.0
-#: Members of a bucket that meet in one task.
-BLOCK = 1000
+#: Members of a bucket that meet in one task, and their shingles: those of a block are this many at most, on average.
+BLOCK, ROOM = 1000, 2_000_000
+#: Cells over which the pairs of one node are dealt.
+CELLS = 256
 _MASK = 0x2AAAAAAAAAAAAAAA
 _RANDOM = np.random.default_rng(20_240_607)
 _BYTE = _RANDOM.integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -169,9 +171,48 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
 
     left = materialise(both.mapInArrow(likely, "a long, b long").distinct())
     sets = materialise(full_sets(docs, left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), words))
-    joined = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return joined.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    return _starred(left, sets, percent)
+
+
+def _starred(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those with sets alike enough; sets has node and items, a row for each text of a node.
+
+    The pairs of one a are dealt over CELLS cells. The set of a goes to each cell once, before those of
+    the cell's b, and a task holds one batch besides it, however many pairs an a has.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("b"), F.lit(CELLS)).cast("int"))
+    heads = dealt.select("a", "cell").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "cell", F.lit(0).alias("member"), F.col("a").alias("b"), "items")
+    members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "cell", F.lit(1).alias("member"), "b", "items")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
+        for rows in batches:
+            found = []
+            a, cell, member, b = (rows.column(c).to_pylist() for c in ("a", "cell", "member", "b"))
+            ends, values = rows.column("items").offsets.to_numpy(), rows.column("items").values.to_numpy().view(np.uint64)
+            for k in range(rows.num_rows):
+                items = values[ends[k] : ends[k + 1]]
+                if (a[k], cell[k]) != at:
+                    at, heads = (a[k], cell[k]), []
+                if member[k]:
+                    if any(_alike(x, items, percent) for x in heads):
+                        found.append((a[k], b[k]))
+                elif not any(np.array_equal(x, items) for x in heads):
+                    heads.append(items.copy())
+            yield batch(schema, a=[x for x, _ in found], b=[x for _, x in found])
+
+    rows = heads.union(members).repartition(n, "a", "cell").sortWithinPartitions("a", "cell", "member")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of sorted sets of which neither is empty."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -234,7 +275,8 @@ def _linked(rows: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
 def _within_buckets(apart: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between components that share a bucket; apart has key, band, node and component."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = apart.join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
+    counts = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / ROOM)).cast("int").alias("blocks"))
     placed = apart.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     cells = placed.join(nodes, "node")
