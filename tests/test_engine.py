@@ -146,6 +146,21 @@ def test_stream_indexes_like_a_table(spark, tmp_path):
     assert {(r["post_id"], r["parsed_text"]) for r in table.read().collect()} == {(1, "c")}
 
 
+def test_stream_sets_pages_aside_that_fail(spark, tmp_path):
+    table, failed = KeyedTable(spark, f"file://{tmp_path}/t", ["post_id"]), KeyedTable(spark, f"file://{tmp_path}/f", ["post_id"])
+    schema = "post_id long, parsed_text string, deleted boolean"
+
+    def make(page):
+        return page.upper() if page != "bad" else 1 / 0
+
+    seen = []
+    for rows in ([(1, "a", False), (2, "bad", False), (3, "c", False)], [(1, "bad", False), (2, "b", False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        incremental.index_pages(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), table, f"{tmp_path}/check", make, failed).awaitTermination()
+        seen.append(({r["post_id"]: r["parsed_text"] for r in table.read().collect()}, [(r["post_id"], r["error"][:5]) for r in failed.read().collect()]))
+    assert seen == [({1: "A", 3: "C"}, [(2, "ZeroD")]), ({1: "A", 2: "B", 3: "C"}, [(1, "ZeroD")])]
+
+
 def test_streamed_usage_is_the_table_s(spark, tmp_path):
     log = more._view(spark, DATA, "v_spend_log")
     log.coalesce(1).write.parquet(f"{tmp_path}/log")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,8 +11,25 @@ from pyspark.sql.streaming import StreamingQuery
 from weftline.operators.store import KeyedTable
 
 
-def index_pages(changes: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """A stream of post_id, parsed_text, deleted into a keyed table; rows whose content hash is known are passed over."""
+def guarded(rows: DataFrame, column: str, make: Callable[[str | None], str | None]) -> DataFrame:
+    """rows with `made`, what make gives for the column, and `error`: what it raised for this row, else null."""
+
+    def run(value: str | None) -> tuple[str | None, str | None]:
+        try:
+            return make(value), None
+        except Exception as problem:  # whatever is wrong is wrong with this row
+            return None, f"{type(problem).__name__}: {problem}"[:500]
+
+    found = F.udf(run, "made string, error string", useArrow=True).asNondeterministic()  # run once a row
+    return rows.withColumn("_found", found(column)).select("*", "_found.made", "_found.error").drop("_found")
+
+
+def index_pages(changes: DataFrame, table: KeyedTable, checkpoint: str, make: Callable[[str | None], str | None] | None = None, failed: KeyedTable | None = None) -> StreamingQuery:
+    """A stream of post_id, parsed_text, deleted into a keyed table; rows whose content hash is known are passed over.
+
+    make turns the text of a page into what is kept. A page that it fails for stops no other and keeps
+    the row it had; it goes to `failed` (post_id, content_hash, error) until it comes again and succeeds.
+    """
 
     def apply(rows: DataFrame, _: int) -> None:
         rows = rows.withColumn("content_hash", F.md5(F.coalesce("parsed_text", F.lit("")))).persist()
@@ -19,10 +38,18 @@ def index_pages(changes: DataFrame, table: KeyedTable, checkpoint: str) -> Strea
         old = table.read()
         if old is not None:
             kept = kept.join(old.select("post_id", "content_hash"), ["post_id", "content_hash"], "left_anti")
+        if make:
+            tried = guarded(kept, "parsed_text", make).persist()
+            kept = tried.filter("error IS NULL").withColumn("parsed_text", F.col("made")).drop("made", "error")
+            if failed is not None:
+                failed.delete(rows.select("post_id"))
+                failed.upsert(tried.filter("error IS NOT NULL").select("post_id", "content_hash", "error"))
         if not kept.isEmpty():
             table.upsert(kept)
         if not gone.isEmpty():
             table.delete(gone)
+        if make:
+            tried.unpersist()
         rows.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
