@@ -65,7 +65,7 @@ def decode(unit: np.ndarray, turn: np.ndarray, halves: list[np.ndarray], least:
     return i[keep] * len(halves[1]) + j[at[keep]], np.bincount(row[keep], minlength=len(unit))
 
 
-def _encoded(vectors: DataFrame, each: int, least: float) -> DataFrame:
+def _encoded(vectors: DataFrame, each: int, least: float, kind: str) -> DataFrame:
     schema = pa.schema([("vec_id", pa.int64()), ("digest", pa.binary()), ("vector", pa.binary()), ("filters", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _encoded(vectors: DataFrame, each: int, least: float) -> DataFrame:
                 found, n = decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), *known[size], least)
                 for (k, x), f in zip(own, np.split(found, np.cumsum(n)[:-1]), strict=True):
                     space = hashlib.blake2b(f"{size}/{labels[k]}".encode(), digest_size=8).digest()
-                    out["vector"][k] = x.tobytes()
+                    out["vector"][k] = x.astype(kind).tobytes()
                     out["digest"][k] = hashlib.blake2b(space + x.tobytes(), digest_size=16).digest()
                     out["filters"][k] = np.sort(f * np.int64(0x5851F42D4C957F2D) ^ np.frombuffer(space, np.int64)[0]).tobytes()
             yield batch(schema, **out)
@@ -174,9 +174,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "v
     """One row per vector: vec_id, n_links (other vectors of its label at cosine >= least), component_id, kept."""
     spark = vectors.sparkSession
     prepare(spark)
+    single = vectors.schema[vector_column].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"  # singles are doubles when they are compared, but travel as they came
     vectors = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
     each = max(128, int(vectors.count() ** 0.5 / 2))  # filters grow with the rows, so that members of one do not
-    rows = materialise(_encoded(vectors, each, least))
+    rows = materialise(_encoded(vectors, each, least, kind))
     valid = rows.filter("digest is not null and vec_id is not null")
     classes = valid.groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     nodes = materialise(valid.join(classes, "digest").filter("vec_id = node").dropDuplicates(["digest"]).select("node", "weight", "vector", "filters"))
@@ -203,7 +205,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "v
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if b - a > 1:
                     f = _below(int(key[a]), filters[a:b])
-                    v = np.frombuffer(b"".join(vector[a:b]), np.float64).reshape(b - a, -1)
+                    v = np.frombuffer(b"".join(vector[a:b]), kind).astype(np.float64).reshape(b - a, -1)
                     own = _compared(bool(i[a] != j[a]), block[a:b], node[a:b], weight[a:b], v, f, least)
                     if len(own[0]):
                         found.append(own)
