@@ -97,12 +97,10 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """The sketch of a set that is not empty: one uint16 for each register."""
-    least = np.full(len(_FACTORS), 2**32 - 1, np.uint32)
-    for k in range(0, len(shingles), 4096):
-        x = shingles[k : k + 4096]
-        for j, factor in enumerate(_FACTORS):
-            least[j] = min(least[j], ((x * factor) >> np.uint64(32)).min())
-    variate = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
+    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[k : k + 1024] * _FACTORS[:, None]).min(1))
+    variate = -np.log1p(-((least >> np.uint64(32)) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(variate) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
