@@ -40,6 +40,8 @@ DOUBT = 18.0
 BLOCK, ROOM = 1000, 2_000_000
 #: Cells over which the pairs of one node are dealt.
 CELLS = 256
+#: Pairs of a cell whose registers are compared together.
+PAIRS = 4096
 _MASK = 0x2AAAAAAAAAAAAAAA
 _RANDOM = np.random.default_rng(20_240_607)
 _BYTE = _RANDOM.integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -149,8 +151,8 @@ def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, leas
         return more * np.log(np.clip(p, 1e-12, 1)) + less * np.log(np.clip(q, 1e-12, 1)) + same * np.log(rest)
 
     most = np.minimum(nx, ny) / np.maximum(nx, ny)  # similarity is the sizes' ratio at most
-    high = np.max([likelihood(np.minimum(least + (1 - least) * k / 8, most)) for k in range(9)], axis=0)
-    low = np.max([likelihood(np.minimum(least * k / 24, most)) for k in range(25)], axis=0)
+    high = likelihood(np.minimum(least + (1 - least) * np.arange(9)[:, None] / 8, most)).max(0)
+    low = likelihood(np.minimum(least * np.arange(25)[:, None] / 24, most)).max(0)
     return (most >= least - 1e-9) & (high >= low - DOUBT)
 
 
@@ -227,28 +229,33 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, items array<long>")
 
 
-def _possible(rows: pa.RecordBatch, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of a cell that its bucket is the first to bring together, as far as registers and components leave them open."""
+def _possible(rows: pa.RecordBatch, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell that its bucket is the first to bring together, as far as registers and components leave them open; PAIRS or so are looked at together."""
     cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
     band, block, component, n = (rows.column(c).to_numpy() for c in ("band", "block", "component", "n_shingles"))
     values = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(rows.num_rows, -1)
     n = n.astype(float)
-    for a in range(rows.num_rows - 1):
-        b = np.arange(a + 1, rows.num_rows)
-        open_ = (component[b] != component[a]) & (np.minimum(n[a], n[b]) >= (least - 1e-9) * np.maximum(n[a], n[b]))
-        b = b[open_ & (block[b] != block[a])] if cross else b[open_]
-        if len(b):
-            b = b[may_reach(values[a][None], values[b], np.full(len(b), n[a]), n[b], least)]
-        if len(b):
-            same = (values[b] == values[a]).reshape(len(b), BANDS, ROWS).all(2)
-            b = b[same.argmax(1) == band[0]]
-        if len(b):
-            yield a, b
+    firsts, seconds, held = [], [], 0
+    for k in range(rows.num_rows - 1):
+        open_ = (component[k + 1 :] != component[k]) & (np.minimum(n[k], n[k + 1 :]) >= (least - 1e-9) * np.maximum(n[k], n[k + 1 :]))
+        if cross:
+            open_ &= block[k + 1 :] != block[k]
+        seconds.append(np.flatnonzero(open_) + k + 1)
+        firsts.append(np.full(len(seconds[-1]), k))
+        held += len(seconds[-1])
+        if held >= PAIRS or held and k == rows.num_rows - 2:
+            a, b = np.concatenate(firsts), np.concatenate(seconds)
+            firsts, seconds, held = [], [], 0
+            first = (values[a] == values[b]).reshape(len(a), BANDS, ROWS).all(2).argmax(1) == band[0]
+            a, b = a[first], b[first]
+            likely = may_reach(values[a], values[b], n[a], n[b], least)
+            yield a[likely], b[likely]
 
 
 def _linked(rows: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
     """Links that connect components of a cell, confirmed on full sets; pairs that are connected are not compared."""
-    items, nodes = [np.asarray(x.values) for x in rows.column("items")], rows.column("node").to_pylist()
+    ends, values = rows.column("items").offsets.to_numpy(), rows.column("items").values.to_numpy().view(np.uint64)
+    items, nodes = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], rows.column("node").to_pylist()
     component = rows.column("component").to_pylist()
     root = {c: c for c in component}
 
@@ -259,14 +266,12 @@ def _linked(rows: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
         return c
 
     out = []
-    for a, others in _possible(rows, percent / 100):
-        for b in others.tolist():
+    for firsts, seconds in _possible(rows, percent / 100):
+        for a, b in zip(firsts.tolist(), seconds.tolist(), strict=True):
             x, y = find(component[a]), find(component[b])
-            if x != y:
-                shared = len(np.intersect1d(items[a], items[b], assume_unique=True))
-                if 100 * shared >= percent * (len(items[a]) + len(items[b]) - shared):
-                    root[max(x, y)] = min(x, y)
-                    out.append((nodes[a], nodes[b]))
+            if x != y and _alike(items[a], items[b], percent):
+                root[max(x, y)] = min(x, y)
+                out.append((nodes[a], nodes[b]))
     return out
 
 
@@ -283,7 +288,7 @@ def _within_buckets(apart: DataFrame, nodes: DataFrame, docs: DataFrame, words:
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, at):
-            found = {k for a, b in _possible(rows, percent / 100) for k in (a, *b.tolist())}
+            found = {k for a, b in _possible(rows, percent / 100) for k in (*a.tolist(), *b.tolist())}
             if found:
                 names = rows.column("node").to_pylist()
                 yield batch(some, key=[rows.column("key")[0].as_py()] * len(found), node=[names[k] for k in found])
