@@ -200,3 +200,35 @@ def test_overlaps_of_small_blocks(spark, monkeypatch):
         monkeypatch.setattr(overlap, "TARGETS", block)
         got = overlap.best_overlaps(sources, sources.drop("idf"), weights, 5).collect()
         assert {(r["source_id"], r["target_id"]): (r["shared"], pytest.approx(r["score"], abs=1.1e-4), r["rank"]) for r in got} == want
+
+
+def test_overlaps_write_a_block_of_targets_once(spark, monkeypatch):
+    """However many groups of sources there are, and with the same result as brute force where bounds leave targets out."""
+    draw = np.random.default_rng(5)
+    pages = {p: {int(t): int(n) for t, n in zip(np.minimum(draw.zipf(1.3, 25), 400), draw.integers(1, 5, 25), strict=True)} for p in range(1500)}
+    pages |= {p: dict(pages[7]) for p in range(1500, 1600)}  # a group of copies, larger than k
+    df = {t: sum(t in x for x in pages.values()) for t in range(401)}
+    idf = {t: float(np.log(1 + len(pages) / n)) for t, n in df.items() if n}
+    sources = spark.createDataFrame([(p, "a", t * (df[t] > 1), n, idf[t]) for p, x in pages.items() if p % 13 == 0 or p >= 1590 for t, n in x.items()], "post_id long, lang_code string, number long, tf long, idf double")
+    targets = spark.createDataFrame([(p, "a", list(x), list(x.values())) for p, x in pages.items()], "post_id long, lang_code string, numbers array<long>, tfs array<long>").coalesce(1)
+    want = {}
+    for a in (r["post_id"] for r in sources.select("post_id").distinct().collect()):
+        norm = sum(idf[t] * n for t, n in pages[a].items())
+        found = [(-np.floor(min(1, sum(idf[t] * min(n, x[t]) for t, n in pages[a].items() if t in x) / norm) * 1e4 + 0.5) / 1e4, b) for b, x in pages.items() if b != a and len(pages[a].keys() & x.keys()) >= 2]
+        want[a] = sorted(found)[:6]
+    written, write = [], overlap._blocks
+    monkeypatch.setattr(overlap, "_blocks", lambda *a: written.append(write(*a)) or written[-1])
+    monkeypatch.setattr(overlap, "TARGETS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    for group in (1000, 10):
+        monkeypatch.setattr(overlap, "SOURCES", group)
+        got = {}
+        for r in overlap.best_of_pages(sources, targets, 6).orderBy("source_id", "rank").collect():
+            got.setdefault(r["source_id"], []).append((-r["score"], r["target_id"]))
+        assert got.keys() == {a for a, x in want.items() if x}
+        for a, x in got.items():
+            assert [s for s, _ in x] == pytest.approx([s for s, _ in want[a]], abs=1.1e-4)
+            assert sum(b not in [i for _, i in want[a]] for _, b in x) <= sum(abs(s - want[a][-1][0]) < 1.1e-4 for s, _ in want[a])
+        assert [b for _, b in got[1599]] == [7, 1500, 1501, 1502, 1503, 1504]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [len(x) for x in written] == [4, 4]

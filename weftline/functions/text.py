@@ -6,11 +6,13 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.config import ABBREVIATIONS, QUESTION_MARKS, QUESTION_PHRASES
+from weftline.config import ABBREVIATIONS, QUESTION_MARKS, QUESTION_PHRASES, STOPWORDS
 from weftline.session import ship
 
 _SPLIT = regex.compile(r"(?<=[.!?])\s+")
@@ -151,3 +153,48 @@ def linked_pages(pages: DataFrame, anchor: str, href: str) -> DataFrame:
 
     ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, html string, placed boolean")
+
+
+def stored_term(raw: str) -> str:
+    """A word as it is kept: without quotes and hyphens at its ends, of 80 bytes at most; empty if it isn't kept."""
+    term = raw.strip("'-")
+    size = len(term.encode())
+    return "" if size < 3 or term in _STOP else term if size <= 80 else term.encode()[:80].decode(errors="ignore")
+
+
+_STOP = frozenset(STOPWORDS)
+
+
+def term_lists(pages: DataFrame, most: int, own: int) -> DataFrame:
+    """(post_id, lang_code, in_scope, terms, tfs, own): of each row that has any the `most` most frequent terms, ties in their order, and how many of them are among the first `own`.
+
+    pages: post_id, lang_code, in_scope, parsed_text. Nothing is shuffled, so a page must be one row.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # words of whole texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            lists = rows.column(3)
+            words = lists.flatten().dictionary_encode()
+            kept = [stored_term(w) for w in words.dictionary.to_pylist()]
+            names = sorted({*kept} - {""})
+            number = {t: k for k, t in enumerate(names)} | {"": -1}
+            code = np.array([number[t] for t in kept], np.int64)[words.indices.to_numpy()] if kept else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            pairs, tf = np.unique((row * (len(names) + 1) + code)[code >= 0], return_counts=True)
+            row, code = np.divmod(pairs, len(names) + 1)
+            order = np.lexsort((code, -tf, row))
+            row, code, tf = row[order], code[order], tf[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < most
+            row, code, tf = row[first], code[first], tf[first]
+            at, sizes = np.unique(row, return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, pa.array(names, pa.string()).take(pa.array(code)))
+            columns = [*(rows.column(k).take(pa.array(at)) for k in range(3)), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64())), pa.array(np.minimum(sizes, own), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["post_id", "lang_code", "in_scope", "terms", "tfs", "own"])
+
+    words = pages.selectExpr("post_id", "lang_code", "in_scope", r"""regexp_extract_all(lower(parsed_text), r"\p{L}[\p{L}\p{Nd}'-]{2,}", 0) AS words""")
+    return words.mapInArrow(run, "post_id long, lang_code string, in_scope boolean, terms array<string>, tfs array<long>, own int")

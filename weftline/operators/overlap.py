@@ -1,72 +1,235 @@
-"""Best targets of each source by weighted overlap of their terms, in blocks of sources against blocks of targets.
+"""Best targets of each source by weighted overlap of their terms, in groups of sources against blocks of targets.
 
 A term that stands in many pages pairs each with each, so a join on terms makes far more rows than it
-keeps. Here a task holds the posting lists of a block of targets and adds a source's terms up over
-them; only the best targets of a source leave the task. Blocks have a bounded size, whatever the table.
+keeps, and blocks that travel to every group of sources are written as often as there are groups. Here
+the posting lists of a block of targets are written once, to the folder that driver and executors share,
+and each task, which has a group of sources, reads them one after the other; only the best targets of a
+source leave the task. Groups and blocks have a bounded size, whatever the table.
+
+Within a block the rare terms of a source are added up over all targets; its frequent terms, which have
+a row of their own in the block, are added heaviest first, and targets that can no longer reach a place
+among the best k are left out as soon as that is certain.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship
+from weftline.session import scratch_dir, ship
+
+#: Pages of a group of sources, of a block of targets, and of all blocks that a task holds before it writes one.
+SOURCES, TARGETS, HELD = 4_000, 32_000, 48_000
+#: Terms of one target in so many have a row in their block.
+FREQUENT = 16
+
+
+def _file_system(uri: str):
+    return fs.FileSystem.from_uri(uri)
+
+
+class Block:
+    """Posting lists of some pages: keys, sorted, and for each the places of its pages, ascending, and how often they have it."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, begins: np.ndarray, places: np.ndarray, tf: np.ndarray):
+        self.ids, self.keys, self.begins, self.places, self.tf = ids, keys, begins, places, tf
+
+    @classmethod
+    def build(cls, ids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, tf: np.ndarray) -> Block:
+        """ids of pages, how many terms each has, and those of one page after the other."""
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        rank[by_id] = np.arange(len(ids))
+        place = np.repeat(rank, sizes)
+        order = np.lexsort((place, numbers))
+        keys, begins = np.unique(numbers[order], return_index=True)
+        small = np.uint16 if not len(tf) or tf.max() < 1 << 16 else np.int64
+        return cls(ids[by_id], keys, np.append(begins, len(order)), place[order], tf[order].astype(small))
+
+    def write(self, folder: str) -> str:
+        system, at = _file_system(folder)
+        system.create_dir(at, recursive=True)
+        name, held = uuid.uuid4().hex, io.BytesIO()
+        np.savez(held, ids=self.ids, keys=self.keys, begins=self.begins, places=self.places, tf=self.tf)
+        with system.open_output_stream(f"{at}/{name}") as out:
+            out.write(held.getbuffer())
+        return f"{folder}/{name}"
+
+    @classmethod
+    def read(cls, uri: str) -> Block:
+        system, at = _file_system(uri)
+        with system.open_input_stream(at) as file:
+            return cls(**np.load(io.BytesIO(file.readall())))
+
+    def narrowed(self, numbers: np.ndarray) -> Held:
+        return Held(self, numbers)
+
+
+class Held:
+    """A block as seen by sources whose terms are numbers, sorted: lists by their place there, and rows of the frequent ones."""
+
+    def __init__(self, block: Block, numbers: np.ndarray):
+        at = np.searchsorted(block.keys, numbers)
+        known = at < len(block.keys)
+        known[known] = block.keys[at[known]] == numbers[known]
+        at = np.where(known, at, 0)
+        self.ids, self.places, self.tf = block.ids, block.places, block.tf
+        self.begins, self.sizes = np.where(known, block.begins[at], 0), np.where(known, block.begins[at + 1] - block.begins[at], 0)
+        often = np.flatnonzero(self.sizes * FREQUENT > len(block.ids))
+        self.row = np.full(len(numbers), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(block.ids)), block.tf.dtype)
+        for n, k in enumerate(often):
+            own = slice(self.begins[k], self.begins[k] + self.sizes[k])
+            self.rows[n, self.places[own]] = self.tf[own]
 
-#: Pages of a block of sources, and of targets.
-SOURCES, TARGETS = 500, 20_000
+    def scores(self, terms: np.ndarray, tf: np.ndarray, idf: np.ndarray, norm: float, own_id: int, best: tuple, k: int, min_shared: int) -> tuple:
+        """(ids, shared, scores) of the best k among best and this block."""
+        def least(found: tuple) -> float:
+            """What a target's sum must reach to be among the k; those of the same score count if their id may be smaller."""
+            if len(found[0]) < k:
+                return -1.0
+            return (found[2][-1] + (0.49999e-4 if self.ids[0] > found[0][-1] else -0.50001e-4)) * norm
 
+        low = least(best)
+        if low >= (1 + 0.4e-4) * norm:
+            return best
+        n, row = len(self.ids), self.row[terms]
+        rare, often = np.flatnonzero(row < 0), np.flatnonzero(row >= 0)
+        sizes = self.sizes[terms[rare]]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[terms[rare]] - ends + sizes, sizes)
+        place = self.places[at]
+        total = np.bincount(place, np.repeat(idf[rare], sizes) * np.minimum(np.repeat(tf[rare], sizes), self.tf[at]), n).astype(float, copy=False)
+        often = often[np.argsort(-(idf[often] * tf[often]), kind="stable")]
+        weight, row = idf[often] * tf[often], row[often]
+        left = np.append(np.cumsum(weight[::-1])[::-1], 0.0)  # what the frequent terms from here on can add
+        few = tf[often].astype(self.rows.dtype) if self.rows.dtype != np.uint16 else np.minimum(tf[often], 65535).astype(np.uint16)
 
-def _blocks(pages: DataFrame, size: int, name: str) -> DataFrame:
-    """(lang_code, name): how many blocks the pages of a language make."""
-    return pages.groupBy("lang_code").agg(F.ceil(F.count_distinct("post_id") / size).cast("int").alias(name))
+        def whole(found: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+            keep = (counts >= min_shared) & (self.ids[found] != own_id)
+            scores = np.floor(np.minimum(1.0, sums[keep] / norm) * 1e4 + 0.5) / 1e4
+            ids, counts, scores = (np.concatenate(x) for x in zip(best, (self.ids[found[keep]], counts[keep], scores), strict=True))
+            first = np.lexsort((ids, -scores))[:k]
+            return ids[first], counts[first], scores[first]
+
+        counted = found = None
+        if low < 0 and n > 8 * k:  # nothing known yet: the best by rare terms alone give a first bound
+            counted = np.bincount(place, minlength=n)
+            some = np.argpartition(total, n - 4 * k)[n - 4 * k :]
+            there = self.rows[row[:, None], some]
+            low = least(whole(some, total[some] + idf[often] @ np.minimum(there, few[:, None]), counted[some] + (there > 0).sum(0)))
+        for j in range(len(often)):
+            if found is None and left[j] < low:
+                found = np.flatnonzero(total >= low - left[j])
+                total = total[found]
+            if found is None:
+                total += idf[often[j]] * np.minimum(self.rows[row[j]], few[j])
+            else:
+                if not len(found):
+                    return best
+                total += idf[often[j]] * np.minimum(self.rows[row[j], found], few[j])
+                keep = total >= low - left[j + 1]
+                if 2 * np.count_nonzero(keep) < len(found):
+                    found, total = found[keep], total[keep]
+        if found is None:
+            found = np.arange(n)
+        keep = np.flatnonzero(total >= low) if low >= 0 else np.flatnonzero(total > 0)
+        if not len(keep):
+            return best
+        found, total = found[keep], total[keep]
+        counted = np.bincount(place, minlength=n) if counted is None else counted
+        return whole(found, total, counted[found] + (self.rows[row[:, None], found] > 0).sum(0))
+
+
+def _blocks(targets: DataFrame, pages: int) -> list:
+    """Rows lang_code, file: the blocks of targets (post_id, lang_code, numbers, tfs), written to the shared folder."""
+    folder = scratch_dir(targets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list] = {}
+
+        def put(lang: str) -> pa.RecordBatch:
+            ids, sizes, numbers, tf = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            return pa.RecordBatch.from_pydict({"lang_code": [lang], "file": [Block.build(ids, sizes, numbers, tf).write(folder)]})
+
+        for rows in batches:
+            table = pa.Table.from_batches([rows])
+            for lang in pc.unique(table["lang_code"]).to_pylist():
+                own = table.filter(pc.equal(table["lang_code"], lang)).combine_chunks()
+                flat = [pc.list_flatten(own[c]).to_numpy().astype(np.int64) for c in ("numbers", "tfs")]
+                held.setdefault(lang, []).append((own["post_id"].to_numpy().astype(np.int64), pc.list_value_length(own["numbers"]).to_numpy().astype(np.int64), *flat))
+                if sum(len(x[0]) for x in held[lang]) >= TARGETS:
+                    yield put(lang)
+            while (counts := {x: sum(len(p[0]) for p in parts) for x, parts in held.items()}) and sum(counts.values()) > HELD:
+                yield put(max(counts, key=counts.get))
+        for lang in list(held):
+            yield put(lang)
+
+    return targets.coalesce(max(1, -(-pages // HELD))).mapInArrow(run, "lang_code string, file string").collect()  # a row for each block
 
 
 def best_overlaps(sources: DataFrame, targets: DataFrame, weights: DataFrame, k: int, min_shared: int = 2) -> DataFrame:
-    """source_id, target_id, shared, score, rank: of each source the k targets of its language with the highest score.
+    """best_of_pages() of rows of single terms.
 
     sources: post_id, lang_code, term, tf, idf; targets: post_id, lang_code, term, tf; weights: term and a
     number other than 0 for each term that more than one page has (others are shared by none).
-    The score is the sum of idf * the smaller tf over shared terms by the source's sum of idf * tf, 1 at
-    most, to four places; ties go to the smaller id; fewer than min_shared terms make no pair.
     """
-    ship(sources.sparkSession)
-    own, other = _blocks(sources, SOURCES, "own"), _blocks(targets, TARGETS, "other")
-    sizes = own.join(other, "lang_code")  # a row for each language
-    left = sources.join(weights.toDF("term", "number"), "term", "left").join(sizes, "lang_code").select("lang_code", F.pmod(F.xxhash64("post_id"), "own").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("j"), "post_id", F.coalesce("number", F.lit(0)).alias("number"), "tf", "idf")
-    used = sources.select("lang_code", "term").distinct()
-    right = targets.join(weights.filter("number != 0").toDF("term", "number"), "term").join(used.toDF("lang_code", "term"), ["lang_code", "term"], "left_semi").join(sizes, "lang_code").select("lang_code", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.pmod(F.xxhash64("post_id"), "other").cast("int").alias("j"), "post_id", "number", "tf")
-
-    def score(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(lists):
-            ids, place = np.unique(lists["post_id"].to_numpy(np.int64), return_inverse=True)
-            order = np.argsort(lists["number"].to_numpy(np.int64), kind="stable")
-            numbers, place, tf = lists["number"].to_numpy(np.int64)[order], place[order], lists["tf"].to_numpy(float)[order]
-            rows = rows.sort_values(["post_id", "number"], kind="stable")
-            begins, ends = (np.searchsorted(numbers, rows["number"].to_numpy(np.int64), side) for side in ("left", "right"))
-            page, own_tf, idf = rows["post_id"].to_numpy(np.int64), rows["tf"].to_numpy(float), rows["idf"].to_numpy(float)
-            at = np.append(np.flatnonzero(np.append(True, page[1:] != page[:-1])), len(page))
-            total, shared = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                total[:], shared[:] = 0, 0
-                for n in range(a, b):
-                    held = place[begins[n] : ends[n]]
-                    total[held] += idf[n] * np.minimum(own_tf[n], tf[begins[n] : ends[n]])
-                    shared[held] += 1
-                found = np.flatnonzero((shared >= min_shared) & (ids != page[a]))
-                scores = np.floor(np.minimum(1.0, total[found] / (idf[a:b] * own_tf[a:b]).sum()) * 1e4 + 0.5) / 1e4
-                if len(found) > k:
-                    high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                    found, scores = found[high], scores[high]
-                best = np.lexsort((found, -scores))[:k]
-                out.append(pd.DataFrame({"source_id": page[a], "target_id": ids[found[best]], "shared": shared[found[best]], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"source_id": [], "target_id": [], "shared": [], "score": []})
-
-    keys = ("lang_code", "i", "j")
-    n = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.sum(F.col("own") * F.col("other"))).first()[0] or 1)  # cells
-    left, right = (x.toDF(*x.columns).repartition(n, *keys) for x in (left, right))  # columns of their own, where both stand on one table
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "source_id long, target_id long, shared long, score double")
-    order = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    numbered = weights.filter("number != 0").toDF("term", "number")
+    lists = targets.join(numbered, "term").groupBy("post_id", "lang_code").agg(F.collect_list(F.struct("number", "tf")).alias("list"))
+    return best_of_pages(sources.join(numbered, "term", "left").na.fill(0, ["number"]), lists.selectExpr("post_id", "lang_code", "list.number AS numbers", "list.tf AS tfs"), k, min_shared)
+
+
+def best_of_pages(sources: DataFrame, targets: DataFrame, k: int, min_shared: int = 2) -> DataFrame:
+    """source_id, target_id, shared, score, rank: of each source the k targets of its language with the highest score.
+
+    sources: post_id, lang_code, number, tf, idf, a row for each term; number stands for the term and is 0
+    if no other page has it. targets: a row for each page with post_id, lang_code and the arrays numbers
+    and tfs of its terms. The score is the sum of idf * the smaller tf over shared terms by the source's sum
+    of idf * tf, 1 at most, to four places; ties go to the smaller id; fewer than min_shared terms make no pair.
+    """
+    spark = sources.sparkSession
+    ship(spark)
+    targets = targets.filter("lang_code IS NOT NULL AND post_id IS NOT NULL")
+    files: dict[str, list[str]] = {}
+    for r in _blocks(targets.select("post_id", "lang_code", "numbers", "tfs"), targets.count()):
+        files.setdefault(r["lang_code"], []).append(r["file"])
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["post_id", "number"], kind="stable")
+        norms = rows["idf"] * rows["tf"]
+        page = rows["post_id"].to_numpy(np.int64)
+        first = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+        pages, norm = page[first], np.add.reduceat(norms.to_numpy(float), first)
+        rows = rows[rows["number"] != 0]
+        page = np.searchsorted(pages, rows["post_id"].to_numpy(np.int64))
+        at = np.searchsorted(page, np.arange(len(pages) + 1))
+        numbers, terms = np.unique(rows["number"].to_numpy(np.int64), return_inverse=True)
+        tf, idf = rows["tf"].to_numpy(np.int64), rows["idf"].to_numpy(float)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(pages)
+        for file in files.get(rows["lang_code"].iloc[0], []) if len(rows) else []:
+            block = Block.read(file).narrowed(numbers)
+            for p in range(len(pages)):
+                own = slice(at[p], at[p + 1])
+                best[p] = block.scores(terms[own], tf[own], idf[own], norm[p], pages[p], best[p], k, min_shared)
+        sizes = [len(b[0]) for b in best]
+        columns = [np.concatenate([b[c] for b in best]) for c in range(3)]
+        return pd.DataFrame({"source_id": np.repeat(pages, sizes), "target_id": columns[0], "shared": columns[1], "score": columns[2], "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]) if sizes else []})
+
+    counts = {r["lang_code"]: r["count"] for r in sources.select("lang_code", "post_id").distinct().groupBy("lang_code").count().collect()}  # a row for each language
+    groups = {lang: -(-n // SOURCES) for lang, n in counts.items() if lang in files}
+    if not groups:
+        return spark.createDataFrame([], "source_id long, target_id long, shared long, score double, rank int")
+    sizes = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    dealt = sources.filter(F.col("lang_code").isin(*groups)).withColumn("i", F.pmod(F.xxhash64("post_id"), sizes[F.col("lang_code")]).cast("int"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * sum(groups.values()))
+    return dealt.select("lang_code", "i", "post_id", "number", "tf", "idf").repartition(n, "lang_code", "i").groupBy("lang_code", "i").applyInPandas(score, "source_id long, target_id long, shared long, score double, rank int")

@@ -255,5 +255,5 @@ PLANS = {
 }
 VIEWS["top_terms"] = (
     ("postings", "site_wide"),
-    lambda d: f"SELECT post_id, {d.join_list('term', 'place', ', ')} AS words FROM (SELECT p.post_id, p.term, row_number() OVER (PARTITION BY p.post_id ORDER BY p.tf DESC, p.term) AS place FROM postings p {d.anti()} site_wide s ON s.term = p.term) t WHERE place <= 10 GROUP BY post_id",
+    lambda d: f"SELECT post_id, {d.join_list('term', 'place', ', ')} AS words FROM (SELECT {'' if isinstance(d, Duck) else '/*+ BROADCAST(s) */ '}p.post_id, p.term, row_number() OVER (PARTITION BY p.post_id ORDER BY p.tf DESC, p.term) AS place FROM postings p {d.anti()} site_wide s ON s.term = p.term) t WHERE place <= 10 GROUP BY post_id",
 )

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.config import CLICK_RATES, DEFAULT_PRICE, EDGE_STOPWORDS, GENERIC_ANCHORS, NOISE_WORDS, PRICES, SECRET_SHAPES, STOPWORDS, EngineConfig
+from weftline.functions import text
 from weftline.operators import graph, index, overlap
 from weftline.plans import rules
 from weftline.plans.dialect import Duck, Spark
@@ -147,7 +148,9 @@ VIEWS: dict[str, View] = {
     "weights": (("document_frequency", "corpus"), lambda d: f"SELECT term, ln(1 + CAST(n AS DOUBLE) / df) AS idf FROM document_frequency, corpus WHERE df <= CAST({C.df_ceiling} AS DOUBLE) * n"),
     "source_terms": (
         ("postings", "weights"),
-        lambda d: f"SELECT s.post_id, s.lang_code, s.term, s.tf, w.idf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM postings) s JOIN weights w ON w.term = s.term WHERE rn <= {C.source_terms}",
+        lambda d: f"SELECT s.post_id, s.lang_code, s.term, s.tf, w.idf FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY tf DESC, term) AS rn FROM postings) s JOIN weights w ON w.term = s.term WHERE rn <= {C.source_terms}"
+        if isinstance(d, Duck)
+        else "SELECT s.post_id, s.lang_code, s.term, s.tf, w.idf FROM postings s JOIN weights w ON w.term = s.term WHERE s.is_own",
     ),
     "norms": (("source_terms",), lambda d: "SELECT post_id, sum(idf * tf) AS norm FROM source_terms GROUP BY post_id"),
     "shared_terms": (
@@ -429,8 +432,10 @@ def _scrubbed(x: str, d: Spark) -> str:
 VIEWS |= rules.VIEWS
 PLANS |= rules.PLANS
 
-#: Views that Spark writes once for all queries that stand on them.
-SHARED = ("v_index", "postings", "document_frequency", "related", "bodies", "scope", "held", "click_depths")
+#: Views that Spark writes once for all queries that stand on them. Texts are read from their table: a copy would take as much disk as they do.
+SHARED = ("page_terms", "document_frequency", "related", "scope", "held", "click_depths")
+#: Views that Spark reads out of another that is stored.
+PARTS = {"postings": ("page_terms", "post_id, lang_code, in_scope, item.terms AS term, item.tfs AS tf, place < own AS is_own FROM (SELECT post_id, lang_code, in_scope, own, posexplode(arrays_zip(terms, tfs)) AS (place, item) FROM {stored}) t")}
 
 
 def _tables(name: str) -> list[str]:
@@ -468,6 +473,9 @@ def render(name: str, d: Spark, folder: str = "", read: Callable[[str], str | No
 
 def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], str | None]:
     def read(name: str) -> str | None:
+        if name in PARTS:
+            whole, query = PARTS[name]
+            return "SELECT " + query.format(stored=f"({read(whole)})")
         if name not in SHARED:
             return None
         make = (lambda: MADE[name](spark, sf_dir)) if name in MADE else (lambda: spark.sql(render(name, Spark(spark), sf_dir, read, whole=True)))
@@ -486,13 +494,29 @@ def _click_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.click_depth(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges"), seed=1)
 
 
+def _page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page with its stored terms. Pages of one row are counted where they lie; rows that share an id, or have none, are one page and go by the plan."""
+    pages = view(spark, sf_dir, "v_index").selectExpr("post_id", "lang_code", f"({SCOPE}) AS in_scope", "parsed_text")
+    again = pages.groupBy("post_id").count().filter("count > 1 OR post_id IS NULL").select(F.col("post_id").alias("id"))
+    if again.isEmpty():
+        return text.term_lists(pages, C.stored_terms, C.source_terms)
+    same = F.col("post_id").eqNullSafe(F.col("id"))
+    rows = spark.sql(render("postings", Spark(spark), sf_dir, whole=True)).join(again, same, "left_semi")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("tf"), "term")))
+    lists = rows.groupBy("post_id", "lang_code", "in_scope").agg(F.sort_array(F.collect_list(F.struct("rn", "term", "tf"))).alias("list"), F.count_if(F.col("rn") <= C.source_terms).cast("int").alias("own"))  # stored terms of a page are bounded
+    return text.term_lists(pages.join(again, same, "left_anti"), C.stored_terms, C.source_terms).unionByName(lists.selectExpr("post_id", "lang_code", "in_scope", "list.term AS terms", "list.tf AS tfs", "own"))
+
+
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = view(spark, sf_dir, "document_frequency").filter("df > 1").select("term", F.xxhash64("term").alias("number"))
-    return overlap.best_overlaps(view(spark, sf_dir, "source_terms"), view(spark, sf_dir, "postings").filter("in_scope"), numbers, RELATED, C.min_shared)
+    single = view(spark, sf_dir, "document_frequency").filter("df = 1").select("term", F.lit(True).alias("single"))
+    sources = view(spark, sf_dir, "source_terms").join(single, "term", "left").selectExpr("post_id", "lang_code", "if(single, 0, xxhash64(term)) AS number", "tf", "idf")
+    targets = view(spark, sf_dir, "page_terms").filter("in_scope").selectExpr("post_id", "lang_code", "transform(terms, x -> xxhash64(x)) AS numbers", "tfs")
+    return overlap.best_of_pages(sources, targets, RELATED, C.min_shared)
 
 
 #: Views that Spark makes by operators; their text is the other engine's.
-MADE = {"click_depths": _click_depths, "related": _related}
+MADE = {"click_depths": _click_depths, "related": _related, "page_terms": _page_terms}
+VIEWS["page_terms"] = VIEWS["postings"]  # its rows, by page; the other engine has no use for it
 VIEWS["click_depths"] = (
     ("scope", "v_link_graph"),
     lambda d: """SELECT s.post_id AS node, coalesce(x.depth, -1) AS depth FROM scope s LEFT JOIN (SELECT node, min(depth) AS depth FROM (WITH RECURSIVE steps AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.target_post_id, depth + 1
