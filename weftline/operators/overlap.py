@@ -6,9 +6,9 @@ the posting lists of a block of targets are written once, to the folder that dri
 and each task, which has a group of sources, reads them one after the other; only the best targets of a
 source leave the task. Groups and blocks have a bounded size, whatever the table.
 
-Within a block the rare terms of a source are added up over all targets; its frequent terms, which have
-a row of their own in the block, are added heaviest first, and targets that can no longer reach a place
-among the best k are left out as soon as that is certain.
+Within a block the rare terms of a source are added up over all targets. Its frequent terms, which have a
+row of their own in the block, are added in whole numbers, rounded up: a bound that costs little. Targets
+whose bound can't reach a place among the best k are left out, the others' scores are added up exactly.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weftline.session import scratch_dir, ship
 
 #: Pages of a group of sources, of a block of targets, and of all blocks that a task holds before it writes one.
-SOURCES, TARGETS, HELD = 4_000, 32_000, 48_000
+SOURCES, TARGETS, HELD = 2_000, 32_000, 48_000
 #: Terms of one target in so many have a row in their block.
 FREQUENT = 16
 
@@ -110,45 +110,32 @@ class Held:
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[terms[rare]] - ends + sizes, sizes)
         place = self.places[at]
         total = np.bincount(place, np.repeat(idf[rare], sizes) * np.minimum(np.repeat(tf[rare], sizes), self.tf[at]), n).astype(float, copy=False)
-        often = often[np.argsort(-(idf[often] * tf[often]), kind="stable")]
-        weight, row = idf[often] * tf[often], row[often]
-        left = np.append(np.cumsum(weight[::-1])[::-1], 0.0)  # what the frequent terms from here on can add
-        few = tf[often].astype(self.rows.dtype) if self.rows.dtype != np.uint16 else np.minimum(tf[often], 65535).astype(np.uint16)
+        counted = np.bincount(place, minlength=n)
+        row, weight, most = row[often], idf[often], tf[often]
 
-        def whole(found: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+        def whole(found: np.ndarray) -> tuple:
+            there = self.rows[row[:, None], found]
+            counts = counted[found] + (there > 0).sum(0)
             keep = (counts >= min_shared) & (self.ids[found] != own_id)
+            sums = total[found] + weight @ np.minimum(there, most[:, None])
             scores = np.floor(np.minimum(1.0, sums[keep] / norm) * 1e4 + 0.5) / 1e4
             ids, counts, scores = (np.concatenate(x) for x in zip(best, (self.ids[found[keep]], counts[keep], scores), strict=True))
             first = np.lexsort((ids, -scores))[:k]
             return ids[first], counts[first], scores[first]
 
-        counted = found = None
-        if low < 0 and n > 8 * k:  # nothing known yet: the best by rare terms alone give a first bound
-            counted = np.bincount(place, minlength=n)
-            some = np.argpartition(total, n - 4 * k)[n - 4 * k :]
-            there = self.rows[row[:, None], some]
-            low = least(whole(some, total[some] + idf[often] @ np.minimum(there, few[:, None]), counted[some] + (there > 0).sum(0)))
-        for j in range(len(often)):
-            if found is None and left[j] < low:
-                found = np.flatnonzero(total >= low - left[j])
-                total = total[found]
-            if found is None:
-                total += idf[often[j]] * np.minimum(self.rows[row[j]], few[j])
-            else:
-                if not len(found):
-                    return best
-                total += idf[often[j]] * np.minimum(self.rows[row[j], found], few[j])
-                keep = total >= low - left[j + 1]
-                if 2 * np.count_nonzero(keep) < len(found):
-                    found, total = found[keep], total[keep]
-        if found is None:
-            found = np.arange(n)
-        keep = np.flatnonzero(total >= low) if low >= 0 else np.flatnonzero(total > 0)
-        if not len(keep):
-            return best
-        found, total = found[keep], total[keep]
-        counted = np.bincount(place, minlength=n) if counted is None else counted
-        return whole(found, total, counted[found] + (self.rows[row[:, None], found] > 0).sum(0))
+        if n <= 8 * k or self.rows.dtype != np.uint16 or tf.sum() > 30_000:
+            return whole(np.arange(n))
+        scale = (65_533 - tf.sum()) / norm  # no bound is over 65,535, as none of the sums is over norm
+        bound, own = (total * scale + 1).astype(np.uint16), np.empty(n, np.uint16)
+        for r, w, m in zip(row, np.ceil(weight * scale).astype(np.uint16), most.astype(np.uint16), strict=True):
+            own.fill(m)  # an array, as numpy is slow with the minimum of an array and a number
+            np.minimum(self.rows[r], own, out=own)
+            np.multiply(own, w, out=own)
+            np.add(bound, own, out=bound)
+        if low < 0:  # nothing known yet: those of the highest bounds give one
+            low = least(whole(np.flatnonzero(bound >= np.partition(bound, n - 2 * k)[n - 2 * k])))
+        found = np.flatnonzero(bound >= int(max(0.0, low) * scale))
+        return whole(found) if len(found) else best
 
 
 def _blocks(targets: DataFrame, pages: int) -> list:
