@@ -5,7 +5,7 @@ import pytest
 
 from weftline.config import EngineConfig
 from weftline.functions import text
-from weftline.operators import graph, overlap
+from weftline.operators import graph, overlap, placing
 from weftline.operators.store import KeyedTable
 from weftline.plans import more, site
 from weftline.plans.dialect import Spark
@@ -232,3 +232,33 @@ def test_overlaps_write_a_block_of_targets_once(spark, monkeypatch):
         assert [b for _, b in got[1599]] == [7, 1500, 1501, 1502, 1503, 1504]
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [len(x) for x in written] == [4, 4]
+
+
+def test_phrases_of_targets_are_written_once(spark, monkeypatch):
+    """The first phrase that stands in a text as whole words, by blocks of any size."""
+    pairs = spark.createDataFrame([(s, t, 0.5, 1) for s in range(1, 9) for t in range(11, 18) if s != 5], "source_id long, target_id long, score double, rank int")
+    texts = {1: " a copper pipe ", 2: " copper  pipe ", 3: " coppers pipe by the ¦ old house ", 4: " the old house ", 6: None, 7: " ", 8: " pipe by the "}
+    bodies = spark.createDataFrame(list(texts.items()), "post_id long, body string")
+    lists = spark.createDataFrame([(t, ["Old House", "Copper Pipe", "Pipe by the"][t % 3 :], ["old house", "copper pipe", "pipe by the"][t % 3 :]) for t in range(11, 17)], "post_id long, phrases array<string>, spelled array<string>").coalesce(1)
+    want = {(s, t): next((p for p in ["Old House", "Copper Pipe", "Pipe by the"][t % 3 :] if f" {p.lower()} " in (texts.get(s) or "")), None) for s in range(1, 9) for t in range(11, 17)}
+    written, write = [], placing._blocks
+    monkeypatch.setattr(placing, "_blocks", lambda *a: written.append(write(*a)) or written[-1])
+    for sources in (100, 1):
+        monkeypatch.setattr(placing, "SOURCES", sources)
+        got = {(r["source_id"], r["target_id"]): r["phrase"] for r in placing.first_placed(pairs, bodies, lists, range(2, 5)).collect()}
+        assert got == {k: p for k, p in want.items() if p}
+    assert [len(x) for x in written] == [1, 1]
+
+
+def test_terms_of_pages_as_the_plan_has_them(spark, tmp_path):
+    """Rows that share an id or have none, empty and odd texts: the lists, counted where they lie, are the plan's rows."""
+    odd = [(1, "One one two's ÉTÉ été the"), (2, None), (3, ""), (4, "x" * 90 + " " + "é" * 60 + " 'quoted-' don't-"), (5, " ".join(f"w{k % 700}z" for k in range(2000))), (6, "same id"), (7, "plain text of words")]
+    for name, rows in (("a", odd), ("b", [*odd, (6, "same other id"), (None, "nobody knows"), (None, "nobody")])):
+        spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        plan = spark.sql(site.render("postings", site.Spark(spark), f"{tmp_path}/{name}", whole=True))
+        lists = site.view(spark, f"{tmp_path}/{name}", "postings")
+        columns = ["post_id", "lang_code", "in_scope", "term", "tf"]
+        got, want = (sorted(map(tuple, x.select(columns).collect()), key=repr) for x in (lists, plan))
+        assert got == want and got
+        assert lists.filter("is_own AND post_id = 6").count() == 40
+        assert lists.select("post_id").distinct().count() == plan.select("post_id").distinct().count()

@@ -118,17 +118,18 @@ def visible(page: str) -> str:
 
 
 def summaries(pages: DataFrame, postings: DataFrame, budget: int = 40, site_wide: frozenset[str] = frozenset()) -> DataFrame:
-    """(post_id, summary); pages: post_id, parsed_text; postings: post_id, term, tf without the site-wide terms."""
+    """(post_id, summary); pages: post_id, parsed_text; postings: post_id, term, tf, or a row for each page with post_id, terms, tfs; site-wide terms don't count."""
     from pyspark.sql import functions as F
 
-    weights = postings.groupBy("post_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("weights"))  # stored terms of a page are bounded
+    lists = postings if "terms" in postings.columns else postings.groupBy("post_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))  # stored terms of a page are bounded
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"post_id": f["post_id"], "summary": [summarise(t or "", dict(w) if w is not None else {}, budget, site_wide) for t, w in zip(f["parsed_text"], f["weights"], strict=True)]})
+            weights = ({t: n for t, n in zip(a, b, strict=True) if t not in site_wide} if a is not None else {} for a, b in zip(f["terms"], f["tfs"], strict=True))
+            yield pd.DataFrame({"post_id": f["post_id"], "summary": [summarise(t or "", w, budget, site_wide) for t, w in zip(f["parsed_text"], weights, strict=True)]})
 
     ship(pages.sparkSession)
-    return pages.join(weights, "post_id", "left").select("post_id", "parsed_text", "weights").mapInPandas(run, "post_id long, summary string")
+    return pages.join(lists, "post_id", "left").select("post_id", "parsed_text", "terms", "tfs").mapInPandas(run, "post_id long, summary string")
 
 
 def sentence_rows(pages: DataFrame) -> DataFrame:

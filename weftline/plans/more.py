@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.plans import site
@@ -20,10 +21,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    site_wide = _view(spark, sf_dir, "site_wide").select("term")
-    terms = _view(spark, sf_dir, "postings").join(site_wide, "term", "left_anti")
-    common = frozenset(r["term"] for r in site_wide.collect())  # each in over df_ceiling of the pages, which store stored_terms each: 750 at most
-    return text.summaries(_view(spark, sf_dir, "v_index"), terms, site_wide=common)
+    common = frozenset(r["term"] for r in _view(spark, sf_dir, "site_wide").select("term").collect())  # each in over df_ceiling of the pages, which store stored_terms each: 750 at most
+    lists = _view(spark, sf_dir, "page_terms").groupBy("post_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("tfs")).alias("tfs"))  # a page has one row, but where rows that share an id differ
+    return text.summaries(_view(spark, sf_dir, "v_index"), lists, site_wide=common)
 
 
 def insert_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import CLICK_RATES, DEFAULT_PRICE, EDGE_STOPWORDS, GENERIC_ANCHORS, NOISE_WORDS, PRICES, SECRET_SHAPES, STOPWORDS, EngineConfig
 from weftline.functions import text
-from weftline.operators import graph, index, overlap
+from weftline.operators import graph, index, overlap, placing
 from weftline.plans import rules
 from weftline.plans.dialect import Duck, Spark
 
@@ -256,11 +256,7 @@ VIEWS["phrases"] = (
 #: The first phrase of a target's title that stands in a source's text, as whole words, for each pair that may be proposed.
 VIEWS["placed"] = (
     ("related", "bodies", "phrases"),
-    lambda d: f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, try_element_at(filter(r.list, x -> contains(s.body, concat(' ', lower(x), ' '))), 1) AS phrase FROM
-        (SELECT /*+ REPARTITION({d.tasks}, source_id) */ r.source_id, r.target_id, r.score, r.rank, p.list FROM related r JOIN (SELECT post_id, transform(array_sort(collect_list(struct(place, phrase))), y -> y.phrase) AS list FROM phrases WHERE place <= 60 GROUP BY post_id) p
-        ON p.post_id = r.target_id WHERE r.score >= {C.min_relevance}) r JOIN bodies s ON s.post_id = r.source_id) t WHERE phrase IS NOT NULL"""
-    if not isinstance(d, Duck)
-    else f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, p.phrase, row_number() OVER (PARTITION BY r.source_id, r.target_id ORDER BY p.place) AS rn
+    lambda d: f"""SELECT source_id, target_id, score, rank, phrase FROM (SELECT r.source_id, r.target_id, r.score, r.rank, p.phrase, row_number() OVER (PARTITION BY r.source_id, r.target_id ORDER BY p.place) AS rn
         FROM related r JOIN phrases p ON p.post_id = r.target_id AND p.place <= 60 JOIN bodies s ON s.post_id = r.source_id WHERE r.score >= {C.min_relevance} AND contains(s.body, concat(' ', lower(p.phrase), ' '))) t WHERE rn = 1""",
 )
 VIEWS["text_pass"] = (
@@ -433,7 +429,7 @@ VIEWS |= rules.VIEWS
 PLANS |= rules.PLANS
 
 #: Views that Spark writes once for all queries that stand on them. Texts are read from their table: a copy would take as much disk as they do.
-SHARED = ("page_terms", "document_frequency", "related", "scope", "held", "click_depths")
+SHARED = ("page_terms", "document_frequency", "related", "scope", "held", "placed", "click_depths")
 #: Views that Spark reads out of another that is stored.
 PARTS = {"postings": ("page_terms", "post_id, lang_code, in_scope, item.terms AS term, item.tfs AS tf, place < own AS is_own FROM (SELECT post_id, lang_code, in_scope, own, posexplode(arrays_zip(terms, tfs)) AS (place, item) FROM {stored}) t")}
 
@@ -514,8 +510,15 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.best_of_pages(sources, targets, RELATED, C.min_shared)
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = view(spark, sf_dir, "related").filter(f"score >= {C.min_relevance}")
+    lists = view(spark, sf_dir, "phrases").filter("place <= 60").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase"))).alias("list"))
+    lists = lists.selectExpr("post_id", "list.phrase AS phrases", "transform(list.phrase, x -> lower(x)) AS spelled")
+    return placing.first_placed(pairs, view(spark, sf_dir, "bodies"), lists, range(max(2, C.min_anchor_words), C.max_anchor_words + 1))
+
+
 #: Views that Spark makes by operators; their text is the other engine's.
-MADE = {"click_depths": _click_depths, "related": _related, "page_terms": _page_terms}
+MADE = {"click_depths": _click_depths, "related": _related, "placed": _placed, "page_terms": _page_terms}
 VIEWS["page_terms"] = VIEWS["postings"]  # its rows, by page; the other engine has no use for it
 VIEWS["click_depths"] = (
     ("scope", "v_link_graph"),
