@@ -69,14 +69,14 @@ def first_placed(pairs: DataFrame, bodies: DataFrame, lists: DataFrame, sizes: r
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bodies.count() // SOURCES))
 
     def place(found: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        out, known = [], defaultdict(list)
+        hits: list[tuple[int, str]] = []
+        known = defaultdict(list)
         if len(found) and len(texts):
             for post, body in zip(texts["post_id"], texts["body"], strict=True):
                 if body is not None:
                     known[post].append(body)
             found = found[found["source_id"].isin(known)].sort_values("source_id", kind="stable")
             source, target = found["source_id"].to_numpy(np.int64), found["target_id"].to_numpy(np.int64)
-            hits: list[tuple[int, str]] = []
             for file in files:
                 system, at = fs.FileSystem.from_uri(file)
                 with system.open_input_file(at) as data:
@@ -93,8 +93,8 @@ def first_placed(pairs: DataFrame, bodies: DataFrame, lists: DataFrame, sizes: r
                         held = set().union(*(runs_of_words(b, sizes) for b in known[last]))
                     if (at := next((n for n, p in enumerate(spelled[row]) if p in held), None)) is not None:
                         hits.append((k, phrases[row][at]))
-            out = found.drop(columns="i").iloc[[k for k, _ in hits]].assign(phrase=[p for _, p in hits])
-        return out if len(out) else pd.DataFrame({"source_id": [], "target_id": [], "score": [], "rank": [], "phrase": []})
+        at = [k for k, _ in hits]
+        return pd.DataFrame({c: found[c].to_numpy()[at] for c in ("source_id", "target_id", "score", "rank")} | {"phrase": np.array([p for _, p in hits], object)})
 
     left = pairs.select(F.pmod(F.xxhash64("source_id"), F.lit(groups)).cast("int").alias("i"), "source_id", "target_id", "score", "rank").repartition(groups, "i")
     right = bodies.select(F.pmod(F.xxhash64("post_id"), F.lit(groups)).cast("int").alias("i"), "post_id", "body").repartition(groups, "i")
