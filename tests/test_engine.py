@@ -262,3 +262,29 @@ def test_terms_of_pages_as_the_plan_has_them(spark, tmp_path):
         assert got == want and got
         assert lists.filter("is_own AND post_id = 6").count() == 40
         assert lists.select("post_id").distinct().count() == plan.select("post_id").distinct().count()
+
+
+def test_weights_meet_terms_without_a_shuffle(spark, monkeypatch):
+    """Sources as rows of pages, weights in files of any size: as with a row for each term; terms that don't count are left out."""
+    draw = np.random.default_rng(11)
+    pages = {p: {int(t): int(n) for t, n in zip(draw.integers(1, 60, 20), draw.integers(1, 5, 20), strict=True)} | {1000 + p: 2} for p in range(120)}
+    idf = {t: None if t == 3 else 0.5 + t / 60 for t in range(1, 60)}
+    schema = "post_id long, lang_code string, numbers array<long>, tfs array<long>"
+    lists = spark.createDataFrame([(p, "ab"[p % 2], list(x), list(x.values())) for p, x in pages.items()] + [(500, "a", [3], [1]), (501, None, [5, 6], [1, 1]), (502, "a", [], [])], schema)
+    rows = [(p, "ab"[p % 2], t * (t < 1000), n, idf.get(t, 2.0)) for p, x in pages.items() for t, n in x.items() if t != 3]
+    terms = spark.createDataFrame(rows, "post_id long, lang_code string, number long, tf long, idf double")
+    weights = spark.createDataFrame(list(idf.items()), "number long, idf double").repartition(3)
+    want = sorted(map(tuple, overlap.best_of_pages(terms, lists, 5).collect()))
+    for size in (1_000_000, 7):
+        monkeypatch.setattr(overlap, "WEIGHTS", size)
+        assert sorted(map(tuple, overlap.best_of_lists(lists, lists, weights, 2.0, 5).collect())) == want and len(want) > 500
+    assert overlap.best_of_lists(lists.filter("post_id = 500"), lists, weights, None, 5).count() == 0
+
+
+def test_top_terms_as_the_plan_has_them(spark, tmp_path):
+    """Rows that share an id are one page; terms on most pages are left out; no posting goes through a window."""
+    texts = [(k, f"common words here number{k} " + " ".join(f"t{k}x{j} " * (j % 4 + 1) for j in range(15))) for k in range(8)] + [(3, "same id other text number3 t3x3"), (None, "nobody knows"), (90, "common words here")]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plan, got = spark.sql(site.render("top_terms", site.Spark(spark), str(tmp_path), whole=True)), site.view(spark, str(tmp_path), "top_terms")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plan.collect()), key=repr) and got.count() > 8
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

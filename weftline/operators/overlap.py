@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ from weftline.session import scratch_dir, ship
 
 #: Pages of a group of sources, of a block of targets, and of all blocks that a task holds before it writes one.
 SOURCES, TARGETS, HELD = 2_000, 32_000, 48_000
+#: Terms of a file of weights.
+WEIGHTS = 1_000_000
 #: Terms of one target in so many have a row in their block.
 FREQUENT = 16
 
@@ -184,6 +186,74 @@ def best_of_pages(sources: DataFrame, targets: DataFrame, k: int, min_shared: in
     and tfs of its terms. The score is the sum of idf * the smaller tf over shared terms by the source's sum
     of idf * tf, 1 at most, to four places; ties go to the smaller id; fewer than min_shared terms make no pair.
     """
+    counts = sources.select("lang_code", "post_id").distinct().groupBy("lang_code").count()
+    return _by_groups(sources.select("lang_code", "post_id", "number", "tf", "idf"), counts, targets, lambda rows: rows, k, min_shared)
+
+
+def best_of_lists(sources: DataFrame, targets: DataFrame, weights: DataFrame, single: float | None, k: int, min_shared: int = 2) -> DataFrame:
+    """best_of_pages() of sources that are rows of pages, as targets are: post_id, lang_code, numbers, tfs.
+
+    weights: number and idf of each term that more than one page has, idf null for those that don't count; single is
+    the idf of all others. Weights are written once, as blocks are, so that no term is shuffled to meet its own.
+    """
+    ship(sources.sparkSession)
+    files = _weight_files(weights)
+
+    def weighed(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["numbers"].map(len).to_numpy(np.int64)
+        numbers, tf = (np.concatenate([np.zeros(0, np.int64), *rows[c]]).astype(np.int64) for c in ("numbers", "tfs"))
+        known, idf = np.zeros(len(numbers), bool), np.full(len(numbers), np.nan if single is None else single)
+        for file in files:
+            keys, own = _read_weights(file)
+            at = np.minimum(np.searchsorted(keys, numbers), len(keys) - 1)
+            found = keys[at] == numbers
+            idf[found] = own[at[found]]
+            known |= found
+        out = pd.DataFrame({"lang_code": np.repeat(rows["lang_code"].to_numpy(object), sizes), "post_id": np.repeat(rows["post_id"].to_numpy(np.int64), sizes), "number": np.where(known, numbers, 0), "tf": tf, "idf": idf})
+        return out[~np.isnan(idf)]
+
+    sources = sources.filter("post_id IS NOT NULL AND size(numbers) > 0")
+    return _by_groups(sources.select("lang_code", "post_id", "numbers", "tfs"), sources.groupBy("lang_code").count(), targets, weighed, k, min_shared)
+
+
+def _weight_files(weights: DataFrame) -> list[str]:
+    """Files of number and idf, by number, in the shared folder; none is empty."""
+    folder = scratch_dir(weights.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def put() -> pa.RecordBatch:
+            system, at = _file_system(folder)
+            system.create_dir(at, recursive=True)
+            name, out = uuid.uuid4().hex, io.BytesIO()
+            numbers, idf = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in held]) for c in (0, 1))
+            order = np.argsort(numbers, kind="stable")
+            np.savez(out, numbers=numbers[order].astype(np.int64), idf=idf[order].astype(float))
+            with system.open_output_stream(f"{at}/{name}") as file:
+                file.write(out.getbuffer())
+            held.clear()
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"]})
+
+        for rows in batches:
+            held += [rows] if rows.num_rows else []
+            if sum(r.num_rows for r in held) >= WEIGHTS:
+                yield put()
+        if held:
+            yield put()
+
+    return [r["file"] for r in weights.select("number", "idf").mapInArrow(run, "file string").collect()]  # a row for each file
+
+
+def _read_weights(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    system, at = _file_system(uri)
+    with system.open_input_stream(at) as file:
+        held = np.load(io.BytesIO(file.readall()))
+        return held["numbers"], held["idf"]
+
+
+def _by_groups(sources: DataFrame, counts: DataFrame, targets: DataFrame, rows_of: Callable[[pd.DataFrame], pd.DataFrame], k: int, min_shared: int) -> DataFrame:
+    """best_of_pages() of sources with lang_code and post_id, of which rows_of makes the rows of single terms; counts: how many pages a language has, or more."""
     spark = sources.sparkSession
     ship(spark)
     targets = targets.filter("lang_code IS NOT NULL AND post_id IS NOT NULL")
@@ -191,12 +261,13 @@ def best_of_pages(sources: DataFrame, targets: DataFrame, k: int, min_shared: in
     for r in _blocks(targets.select("post_id", "lang_code", "numbers", "tfs"), targets.count()):
         files.setdefault(r["lang_code"], []).append(r["file"])
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
+    def score(found: pd.DataFrame) -> pd.DataFrame:
+        rows = rows_of(found)
         rows = rows.sort_values(["post_id", "number"], kind="stable")
         norms = rows["idf"] * rows["tf"]
         page = rows["post_id"].to_numpy(np.int64)
-        first = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
-        pages, norm = page[first], np.add.reduceat(norms.to_numpy(float), first)
+        first = np.flatnonzero(np.append(True, page[1:] != page[:-1])) if len(page) else np.zeros(0, np.int64)
+        pages, norm = page[first], np.add.reduceat(norms.to_numpy(float), first) if len(page) else np.zeros(0)
         rows = rows[rows["number"] != 0]
         page = np.searchsorted(pages, rows["post_id"].to_numpy(np.int64))
         at = np.searchsorted(page, np.arange(len(pages) + 1))
@@ -209,14 +280,13 @@ def best_of_pages(sources: DataFrame, targets: DataFrame, k: int, min_shared: in
                 own = slice(at[p], at[p + 1])
                 best[p] = block.scores(terms[own], tf[own], idf[own], norm[p], pages[p], best[p], k, min_shared)
         sizes = [len(b[0]) for b in best]
-        columns = [np.concatenate([b[c] for b in best]) for c in range(3)]
+        columns = [np.concatenate([np.zeros(0, kind), *(b[c] for b in best)]) for c, kind in enumerate((np.int64, np.int64, float))]
         return pd.DataFrame({"source_id": np.repeat(pages, sizes), "target_id": columns[0], "shared": columns[1], "score": columns[2], "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]) if sizes else []})
 
-    counts = {r["lang_code"]: r["count"] for r in sources.select("lang_code", "post_id").distinct().groupBy("lang_code").count().collect()}  # a row for each language
-    groups = {lang: -(-n // SOURCES) for lang, n in counts.items() if lang in files}
+    groups = {r["lang_code"]: -(-r["count"] // SOURCES) for r in counts.collect() if r["lang_code"] in files}  # a row for each language
     if not groups:
         return spark.createDataFrame([], "source_id long, target_id long, shared long, score double, rank int")
     sizes = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
     dealt = sources.filter(F.col("lang_code").isin(*groups)).withColumn("i", F.pmod(F.xxhash64("post_id"), sizes[F.col("lang_code")]).cast("int"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * sum(groups.values()))
-    return dealt.select("lang_code", "i", "post_id", "number", "tf", "idf").repartition(n, "lang_code", "i").groupBy("lang_code", "i").applyInPandas(score, "source_id long, target_id long, shared long, score double, rank int")
+    return dealt.repartition(n, "lang_code", "i").groupBy("lang_code", "i").applyInPandas(score, "source_id long, target_id long, shared long, score double, rank int")

@@ -431,7 +431,15 @@ PLANS |= rules.PLANS
 #: Views that Spark writes once for all queries that stand on them. Texts are read from their table: a copy would take as much disk as they do.
 SHARED = ("page_terms", "document_frequency", "related", "scope", "held", "placed", "click_depths")
 #: Views that Spark reads out of another that is stored.
-PARTS = {"postings": ("page_terms", "post_id, lang_code, in_scope, item.terms AS term, item.tfs AS tf, place < own AS is_own FROM (SELECT post_id, lang_code, in_scope, own, posexplode(arrays_zip(terms, tfs)) AS (place, item) FROM {stored}) t")}
+PARTS = {
+    "postings": ("page_terms", "post_id, lang_code, in_scope, item.terms AS term, item.tfs AS tf, place < own AS is_own FROM (SELECT post_id, lang_code, in_scope, own, posexplode(arrays_zip(terms, tfs)) AS (place, item) FROM {stored}) t"),
+    "corpus": ("page_terms", "count(DISTINCT post_id) AS n FROM {stored}"),
+    "top_terms": (
+        "page_terms",
+        """post_id, array_join(transform(slice(array_sort(flatten(collect_list(first))), 1, 10), x -> x.term), ', ') AS words FROM (SELECT post_id,
+        transform(slice(filter(slice(arrays_zip(terms, tfs), 1, 10 + size(common)), x -> NOT array_contains(common, x.terms)), 1, 10), x -> struct(-x.tfs AS k, x.terms AS term)) AS first FROM {stored}, (SELECT collect_set(term) AS common FROM ({site_wide})) s) t WHERE size(first) > 0 GROUP BY post_id""",
+    ),
+}
 
 
 def _tables(name: str) -> list[str]:
@@ -471,7 +479,8 @@ def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], str | None]:
     def read(name: str) -> str | None:
         if name in PARTS:
             whole, query = PARTS[name]
-            return "SELECT " + query.format(stored=f"({read(whole)})")
+            common = render("site_wide", Spark(spark), sf_dir, read, whole=True) if "{site_wide}" in query else ""  # each in over df_ceiling of the pages: 750 terms at most
+            return "SELECT " + query.format(stored=f"({read(whole)})", site_wide=common)
         if name not in SHARED:
             return None
         make = (lambda: MADE[name](spark, sf_dir)) if name in MADE else (lambda: spark.sql(render(name, Spark(spark), sf_dir, read, whole=True)))
@@ -503,11 +512,18 @@ def _page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.term_lists(pages.join(again, same, "left_anti"), C.stored_terms, C.source_terms).unionByName(lists.selectExpr("post_id", "lang_code", "in_scope", "list.term AS terms", "list.tf AS tfs", "own"))
 
 
+def _document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "page_terms").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    single = view(spark, sf_dir, "document_frequency").filter("df = 1").select("term", F.lit(True).alias("single"))
-    sources = view(spark, sf_dir, "source_terms").join(single, "term", "left").selectExpr("post_id", "lang_code", "if(single, 0, xxhash64(term)) AS number", "tf", "idf")
-    targets = view(spark, sf_dir, "page_terms").filter("in_scope").selectExpr("post_id", "lang_code", "transform(terms, x -> xxhash64(x)) AS numbers", "tfs")
-    return overlap.best_of_pages(sources, targets, RELATED, C.min_shared)
+    n = view(spark, sf_dir, "corpus").first()["n"]
+    idf = f"if({{df}} <= CAST({C.df_ceiling} AS DOUBLE) * {n}, ln(1 + CAST({n} AS DOUBLE) / {{df}}), NULL) AS idf"  # as the view weights has it
+    weights = view(spark, sf_dir, "document_frequency").filter("df > 1").selectExpr("xxhash64(term) AS number", idf.format(df="df"))
+    pages = view(spark, sf_dir, "page_terms")
+    sources = pages.selectExpr("post_id", "lang_code", "transform(slice(terms, 1, own), x -> xxhash64(x)) AS numbers", "slice(tfs, 1, own) AS tfs")
+    targets = pages.filter("in_scope").selectExpr("post_id", "lang_code", "transform(terms, x -> xxhash64(x)) AS numbers", "tfs")
+    return overlap.best_of_lists(sources, targets, weights, spark.range(1).selectExpr(idf.format(df="1")).first()["idf"], RELATED, C.min_shared)
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,7 +534,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Views that Spark makes by operators; their text is the other engine's.
-MADE = {"click_depths": _click_depths, "related": _related, "placed": _placed, "page_terms": _page_terms}
+MADE = {"click_depths": _click_depths, "document_frequency": _document_frequency, "related": _related, "placed": _placed, "page_terms": _page_terms}
 VIEWS["page_terms"] = VIEWS["postings"]  # its rows, by page; the other engine has no use for it
 VIEWS["click_depths"] = (
     ("scope", "v_link_graph"),
