@@ -288,3 +288,37 @@ def test_top_terms_as_the_plan_has_them(spark, tmp_path):
     plan, got = spark.sql(site.render("top_terms", site.Spark(spark), str(tmp_path), whole=True)), site.view(spark, str(tmp_path), "top_terms")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plan.collect()), key=repr) and got.count() > 8
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needles_stand_in_texts_as_the_plan_has_it(spark, tmp_path):
+    """Each row that holds a keyword counts once, rows that share an id too, and nothing but keywords is sent."""
+    texts = [(1, "en", " blue car ¦  red house "), (1, "en", " a blue car and a blue car "), (2, "en", " blue ¦  car "), (3, "en", " bluer car "), (4, "de", " blue car "), (5, "en", None), (6, "en", " "), (7, "en", " house "), (None, "en", " blue car ")]
+    bodies = spark.createDataFrame(texts, "post_id long, lang_code string, body string").repartition(3)
+    needles = [" blue car ", " car ¦  red ", " house ", " nowhere to be seen "]
+    want = sorted(((p, a, n) for p, a, b in texts for n in needles if b and n in b), key=repr)
+    assert sorted(map(tuple, placing.standing(bodies, needles).collect()), key=repr) == want and len(want) == 7
+    assert placing.standing(bodies, []).count() == 0
+    rows = [(k, f"some words that number{k} has and others want", "en", "s") for k in (0, 0, 2, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, "the words that number2 has") for k in range(4)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan, got = spark.sql(site.render("held", Spark(spark), str(tmp_path), whole=True)), site.view(spark, str(tmp_path), "held")
+    assert got.columns == plan.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plan.collect()), key=repr) and got.count()
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    """Phrases by brute force, in groups of any size; rows that share an id are one page, wherever they are."""
+    draw = np.random.default_rng(17)
+    word = lambda: "abcdefgh"[draw.integers(0, 8)]
+    texts = [(int(p), f" {' '.join(word() for _ in range(int(draw.integers(0, 12))))} ") for p in [*range(40), 3, 3, 5]]
+    phrases = {t: list(dict.fromkeys(" ".join(word() for _ in range(int(draw.integers(2, 5)))) for _ in range(6))) for t in range(100, 130)}
+    pairs = [(s, t, 0.5, t - 99) for s in range(40) for t in range(100, 132)]
+    want = {(s, t): next((p for p in phrases.get(t, []) if any(f" {p} " in b for k, b in texts if k == s)), None) for s, t, _, _ in pairs}
+    schemas = ("source_id long, target_id long, score double, rank int", "post_id long, body string", "post_id long, phrases array<string>, spelled array<string>")
+    frames = [spark.createDataFrame(x, y).repartition(3) for x, y in zip((pairs, texts, [(t, [p.upper() for p in x], x) for t, x in phrases.items()]), schemas, strict=True)]
+    for sources, targets in ((4000, 50_000), (1, 4)):
+        monkeypatch.setattr(placing, "SOURCES", sources)
+        monkeypatch.setattr(placing, "TARGETS", targets)
+        found = placing.first_placed(*frames, range(2, 5))
+        got = {(r["source_id"], r["target_id"]): r["phrase"] for r in found.collect()}
+        assert got == {k: p.upper() for k, p in want.items() if p} and found.count() == len(got) > 100
+        assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()

@@ -209,14 +209,9 @@ VIEWS["needles"] = (
     lambda d: f"""SELECT * FROM (SELECT p.id, p.keyword, p.post_id, p.is_striking, p.opportunity, p.rank, v.lang_code, {spelled('p.keyword_norm', d)} AS needle, {d.item(d.all_matches('p.keyword_norm', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+'), '1')} AS word
         FROM pool p JOIN (SELECT post_id, lang_code FROM v_index) v ON v.post_id = p.post_id WHERE {d.octets('p.keyword_norm')} >= 4 AND {d.size(d.all_matches('p.keyword_norm', '[' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}]+'))} >= 1) k""",
 )
-#: Pages that hold a keyword's first word are looked through for all of it; the other engine looks through all pages.
 VIEWS["held"] = (
     ("bodies", "needles"),
-    lambda d: """SELECT i.post_id AS source_id, k.* FROM bodies i JOIN needles k ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND contains(i.body, k.needle)"""
-    if isinstance(d, Duck)
-    else """SELECT w.source_id, w.id, w.keyword, w.post_id, w.is_striking, w.opportunity, w.rank, w.lang_code, w.needle, w.word FROM
-        (SELECT b.post_id AS source_id, k.* FROM (SELECT post_id, lang_code, explode(array_distinct(split(trim(body), ' '))) AS word FROM bodies) b JOIN needles k ON k.word = b.word AND k.lang_code = b.lang_code AND k.post_id <> b.post_id) w
-        JOIN bodies i ON i.post_id = w.source_id AND contains(i.body, w.needle)""",
+    lambda d: """SELECT i.post_id AS source_id, k.* FROM bodies i JOIN needles k ON k.post_id <> i.post_id AND k.lang_code = i.lang_code AND contains(i.body, k.needle)""",
 )
 VIEWS["saturated"] = (
     ("v_link_graph", "v_suggestions"),
@@ -429,7 +424,7 @@ VIEWS |= rules.VIEWS
 PLANS |= rules.PLANS
 
 #: Views that Spark writes once for all queries that stand on them. Texts are read from their table: a copy would take as much disk as they do.
-SHARED = ("page_terms", "document_frequency", "related", "scope", "held", "placed", "click_depths")
+SHARED = ("page_terms", "document_frequency", "related", "scope", "pool", "needles", "held", "placed", "keyword_pass", "click_depths")
 #: Views that Spark reads out of another that is stored.
 PARTS = {
     "postings": ("page_terms", "post_id, lang_code, in_scope, item.terms AS term, item.tfs AS tf, place < own AS is_own FROM (SELECT post_id, lang_code, in_scope, own, posexplode(arrays_zip(terms, tfs)) AS (place, item) FROM {stored}) t"),
@@ -526,6 +521,13 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.best_of_lists(sources, targets, weights, spark.range(1).selectExpr(idf.format(df="1")).first()["idf"], RELATED, C.min_shared)
 
 
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needles = view(spark, sf_dir, "needles")
+    found = placing.standing(view(spark, sf_dir, "bodies"), [r["needle"] for r in needles.select("needle").distinct().collect()])  # keyword_pool at most
+    same = [needles[c] == found[c] for c in ("needle", "lang_code")]
+    return found.join(F.broadcast(needles), [*same, needles["post_id"] != found["source_id"]]).select(found["source_id"], needles["*"])
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = view(spark, sf_dir, "related").filter(f"score >= {C.min_relevance}")
     lists = view(spark, sf_dir, "phrases").filter("place <= 60").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase"))).alias("list"))
@@ -534,7 +536,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Views that Spark makes by operators; their text is the other engine's.
-MADE = {"click_depths": _click_depths, "document_frequency": _document_frequency, "related": _related, "placed": _placed, "page_terms": _page_terms}
+MADE = {"click_depths": _click_depths, "document_frequency": _document_frequency, "related": _related, "held": _held, "placed": _placed, "page_terms": _page_terms}
 VIEWS["page_terms"] = VIEWS["postings"]  # its rows, by page; the other engine has no use for it
 VIEWS["click_depths"] = (
     ("scope", "v_link_graph"),
